@@ -56,6 +56,11 @@ def term_counts(text: str) -> np.ndarray:
     return total
 
 
+def sparse(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    idx = np.flatnonzero(counts).astype(np.int32)
+    return idx, counts[idx].astype(np.float32)
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
@@ -64,15 +69,14 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
 
-    def features(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        idx = np.flatnonzero(counts)
-        val = (1 + np.log(counts[idx])) * self.idf[idx]
+    def features(self, idx: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        val = (1 + np.log(n)) * self.idf[idx]
         return idx, val / (np.sqrt(val @ val) or 1.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or not LETTER.search(text):
             return UNDETERMINED, 0.0
-        idx, val = self.features(term_counts(text))
+        idx, val = self.features(*sparse(term_counts(text)))
         z = (val @ self.weights[idx] + self.bias) / self.temperature
         p = np.exp(z - z.max())
         best = int(p.argmax())
@@ -99,12 +103,12 @@ def fit(sample: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta
     model = LanguageModel(langs, np.ones(DIM), np.zeros((DIM, k)), np.zeros(k), 1.0)
     if k < 2:
         return model
-    counts = [term_counts(t) for t, _ in sample]
+    counts = [sparse(term_counts(t)) for t, _ in sample]
     seen = np.zeros(DIM)
-    for c in counts:
-        seen += c > 0
+    for idx, _ in counts:
+        seen[idx] += 1
     model.idf = np.log((1 + len(sample)) / (1 + seen)) + 1
-    rows = [model.features(c) for c in counts]
+    rows = [model.features(*c) for c in counts]
     target = np.eye(k)[[langs.index(y) for _, y in sample]]
     order = np.random.default_rng(seed).permutation(len(rows))
     held = order[: max(1, len(order) // 5)] if len(order) >= 5 * k else order[:0]
@@ -119,7 +123,7 @@ def fit(sample: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta
 
     for _ in range(epochs):
         for i in train:
-            idx, val = np.append(rows[i][0], DIM), np.append(rows[i][1], 1.0)
+            idx, val = np.append(rows[i][0], np.int32(DIM)), np.append(rows[i][1], 1.0)
             w = leader(idx)
             s = val @ w
             p = np.exp(s - s.max())
