@@ -127,7 +127,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 8
 
     def cells(q: DataFrame) -> DataFrame:
         key = ["dim", "shard", "block"]
-        return points.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_search_cell(k), "query_id long, score long, vec_id long")
+        # new names' worth of attributes: both sides come from one table
+        p, q = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (points, q))
+        return p.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_search_cell(k), "query_id long, score long, vec_id long")
 
     at_home = cells(asked.select("query_id", "v", "dim", F.col("home").alias("shard"), "block", F.lit(None).cast("long").alias("least")))
     kth = at_home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
