@@ -168,9 +168,9 @@ def _forest(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarra
 
 def _compare(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        fp, side = table.column("fp").to_numpy().astype(np.int64), table.column("side").to_numpy()
-        x = np.sort(fp[side == 0]).view(np.uint64)
-        y = np.sort(fp[side == 1]).view(np.uint64)
+        tiles, side = table.column("tile").to_pylist(), table.column("side").to_pylist()
+        x, y = (np.array([fp for t, s in zip(tiles, side) if s == k for fp in t], np.int64).view(np.uint64) for k in (0, 1))
+        x, y = np.sort(x), np.sort(y)
         a, b = _forest(x, y if len(y) else None, radius) if len(x) else (x, x)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
@@ -192,11 +192,13 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
     of_cell = spark.createDataFrame([(*map(int, c), int(g), int(chunks[g])) for c, g in zip(cells, group)], "q0 int, q1 int, q2 int, q3 int, g int, chunks int")
     sides = spark.createDataFrame([x for a, b in near for x in ([(a, b, 0, int(chunks[b]), a == b)] + ([(b, a, 1, int(chunks[a]), False)] if a != b else []))], "g int, partner int, side int, others int, same boolean")
     t = f.join(F.broadcast(of_cell), ["q0", "q1", "q2", "q3"]).select("fp", "g", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("c"))
+    # one row a tile, of about `tile` fingerprints: tiles travel whole to their pairs
+    t = t.groupBy("g", "c").agg(F.collect_list("fp").alias("tile"))
     t = t.join(F.broadcast(sides), "g").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     first = F.when(F.col("same"), F.least("c", "o")).when(F.col("side") == 0, F.col("c")).otherwise(F.col("o"))
     second = F.when(F.col("same"), F.greatest("c", "o")).when(F.col("side") == 0, F.col("o")).otherwise(F.col("c"))
     side = F.when(F.col("same"), (F.col("c") > F.col("o")).cast("int")).otherwise(F.col("side"))
-    t = t.select(F.least("g", "partner").alias("ga"), F.greatest("g", "partner").alias("gb"), first.alias("ca"), second.alias("cb"), side.alias("side"), "fp")
+    t = t.select(F.least("g", "partner").alias("ga"), F.greatest("g", "partner").alias("gb"), first.alias("ca"), second.alias("cb"), side.alias("side"), "tile")
     return t.groupBy("ga", "gb", "ca", "cb").applyInArrow(_compare(radius), "a long, b long")
 
 
