@@ -1,0 +1 @@
+"""The engine has no streaming operators: every query reads one immutable snapshot."""
