@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, language_id, line_quality, mixing, ngram_lm, pieces, simhash, token_counts, toxicity, vector_search
-from .common import id_fold
+from .common import id_fold, stored
 from .piece_codec import PieceCodec
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -55,7 +55,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_MODEL)
     counted = token_counts.lengths(table(spark, sf_dir, "documents"), lambda: pieces.codec(path))
-    return token_counts.suffix_sums(token_counts.histogram(counted))
+    # the sums read the histogram more than once; the texts are encoded once
+    return token_counts.suffix_sums(stored(token_counts.histogram(counted), "lengths"))
 
 
 def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
