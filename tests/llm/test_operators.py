@@ -302,7 +302,7 @@ def test_piece_digest(spark, docs):
 
 def test_lm(spark, docs):
     held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
-    got = ngram_lm.score(docs, held, block_bytes=200, least_blocks=3).collect()
+    got = ngram_lm.score(docs, held, block_bytes=200, shard_bytes=700, least_blocks=3).collect()
     texts = [(i, t) for i, t in enumerate(ALL)] + [(None, "no id at all")] * 2
     toks = {(i, t): [w.encode().lower() for w in words_of(t)] + [None] for i, t in texts}
     train = [toks[x] for x in texts if x[0] is None or x[0] % 5]

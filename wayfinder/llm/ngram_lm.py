@@ -7,12 +7,13 @@ from the counts it is judged by).
 
 How counts reach the texts without a table of the whole vocabulary anywhere: documents are dealt into
 blocks by hash (about `block_bytes` of text each). A block's distinct n-grams, with their training
-counts, go to shards by n-gram hash, one compressed row a block and shard; a shard adds up and answers
-each block in the block's own order; the answers meet their block again. So a frequent word costs one
-entry a block, and both shuffles carry sorted 64-bit hashes and small counts. N-grams are told by 64-bit
-hashes. Sums of counts cover all training documents; the weights come from a histogram of fixed size over
-all training tokens (ratios of estimates in fine logarithmic steps). A larger `block_bytes` means fewer
-rows: their number is (bytes / block_bytes)^2.
+counts, go to shards by n-gram hash (each holds the n-grams of about `shard_bytes` of text), one compressed
+row a block and shard; a shard adds up and answers each block in the block's own order; the answers meet
+their block again. So a frequent word costs one entry a block, and both shuffles carry sorted 64-bit hashes
+and small counts. N-grams are told by 64-bit hashes. Sums of counts cover all training documents; the
+weights come from a histogram of fixed size over all training tokens (ratios of estimates in fine
+logarithmic steps). A task holds one block (some 20 bytes a byte of text, as every token has its counts) or
+one shard (some 6 bytes a byte of text); there are bytes^2 / (block_bytes * shard_bytes) rows.
 
 Defined results: null and empty texts are the end token alone; repeated rows count and are scored each;
 with nothing to learn from, counts are zero and every token has the uniform probability.
@@ -234,16 +235,16 @@ def learn_weights(cells: list[tuple[int, int]], rounds: int = 40) -> np.ndarray:
     return weights
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", delta: float = 0.1, block_bytes: int = 16 << 20, least_blocks: int = 24) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", delta: float = 0.1, block_bytes: int = 8 << 20, shard_bytes: int = 32 << 20, least_blocks: int = 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row; rows with held_out train nothing."""
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    blocks = max(least_blocks, -(-size // block_bytes))
+    blocks, shards = (max(least_blocks, -(-size // most)) for most in (block_bytes, shard_bytes))
     id_type = d.schema["doc_id"].dataType.simpleString()
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    requests = d.groupBy("block").applyInArrow(_request(blocks), REQUEST)
+    requests = d.groupBy("block").applyInArrow(_request(shards), REQUEST)
     answers = stored(requests.groupBy("shard").applyInArrow(_answer, ANSWER), "counts")
     sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     met = d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_meet(sums.n, sums.v, delta), SCORED.format(id=id_type))
