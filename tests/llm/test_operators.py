@@ -394,11 +394,16 @@ def test_targets():
     assert sum(t.values()) == Fraction(1300 * 3, 2) and t[None] == 0
     assert all(t[s] <= 2 * n for s, n in (("a", 100), ("b", 100), ("c", 100), ("d", 1000)))
     q = np.array([7, 0, 30, 5])
-    split = mixing.split_quotas(q, 5, np.random.default_rng(0))
+    split = np.zeros((5, 4), np.int64)
+    for shard, of, n in mixing.split_quotas(q, 5, np.random.default_rng(0)):
+        split[shard, of] = n
     assert (split.sum(axis=0) == q).all() and set(split.sum(axis=1)) <= {8, 9}
 
 
-def test_mixing(spark, docs):
+@pytest.mark.parametrize("block,broadcast", [(1 << 24, 200_000), (2, 0)])
+def test_mixing(spark, docs, monkeypatch, block, broadcast):
+    monkeypatch.setattr(mixing, "WORDS_A_BLOCK", block)
+    monkeypatch.setattr(mixing, "BROADCAST_DRAWS", broadcast)
     rows = mixing.summary(docs).collect()
     size = Counter()
     taken = Counter()
@@ -418,4 +423,7 @@ def test_mixing(spark, docs):
     want = Counter({r.doc_id: r.taken // r.size for r in rows if r.size and r.taken and r.doc_id is not None})
     got = Counter(r.doc_id for r in mixed.collect() if words_of(r.text) and r.doc_id is not None)
     assert mixed.columns == docs.columns and got == want
+    # a partition a shard, of about equal numbers of draws
+    parts = Counter(r.p for r in mixed.select(F.spark_partition_id().alias("p")).collect())
+    assert mixed.rdd.getNumPartitions() == 4 and len(parts) == 4
     assert mixing.summary(empty(docs)).count() == 0

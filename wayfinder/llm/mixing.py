@@ -1,15 +1,17 @@
 """Mixing sources to target weights, by a multivariate-hypergeometric splitting tree.
 
-Every row has a place by a hash of its key columns; a source's rows fall into `BLOCKS` blocks by the
-hash's leading bits. A source's target is met by whole passes over its blocks, then by the first blocks
-of a seeded permutation, then by part of one more block, up to a hash bound found by counting words in
-ever finer ranges of that block only: no row order, no sort, no window over a source.
+Every row has a place by a hash of its key columns; a source's rows fall into blocks by the hash's leading
+bits, so many that a block holds about `WORDS_A_BLOCK` words at most. A source's target is met by whole
+passes over its blocks, then by the first blocks of a seeded permutation, then by part of one more block, up
+to a hash bound found by counting words in ever finer ranges of that block only: no row order, no sort, no
+window over a source.
 
 The block draws (block, pass) of all sources are exact quotas. They are split among the output shards by a
 binary tree: at each node the left half's quotas are a multivariate hypergeometric draw from the node's,
 so the sums stay exact. Each shard then takes its quota from the source's permuted draws, disjoint from all
-others, and its rows are ordered by hash. The plan (sources x blocks) is small, of a size that the number of
-sources bounds, and the rows meet it in a join on (source, block).
+others, and its rows are ordered by hash. The plan has a row a block drawn, so it stays small against the
+rows (24 bytes for up to `WORDS_A_BLOCK` words), and the rows meet it in a join on (source, block), by
+broadcast only up to `BROADCAST_DRAWS` rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; sources without
 words have target 0 and are not taken; rows that are equal in all key columns go together; an empty table
@@ -18,21 +20,29 @@ gives no rows; reruns agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
 
+#: A source has 2^BLOCK_BITS blocks at least, and more where they would hold over WORDS_A_BLOCK words.
 BLOCK_BITS = 8
-BLOCKS = 1 << BLOCK_BITS
+WORDS_A_BLOCK = 1 << 24
+#: The words of an output shard decide how many there are, LEAST_SHARDS at least.
+WORDS_A_SHARD = 1 << 26
+LEAST_SHARDS = 64
 FINE_BITS = 12
 HASH_BITS = 56
 WEIGHTS = (5, 2, 1)
 MAX_SOURCES = 100_000
+#: A plan of at most so many draws, of 24 bytes each, goes out by broadcast; a longer one meets the rows in a shuffle.
+BROADCAST_DRAWS = 200_000
 
 
 def n_words(text: Column) -> Column:
@@ -59,118 +69,151 @@ def source_targets(sizes: list[tuple[str | None, int]], weights: Iterable[int] =
     return out
 
 
-def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Shards x sources: quotas split down a binary tree; each shard's total is its even share."""
-    if shards == 1:
-        return quotas[None, :]
+def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator, first: int = 0, of: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, sources, quotas) of each shard, only sources with a quota; every shard's total is its even share."""
+    of = np.arange(len(quotas)) if of is None else of
+    of, quotas = of[quotas > 0], quotas[quotas > 0]
+    if shards == 1 or not len(of):
+        if len(of):
+            yield first, of, quotas
+        return
     left = shards // 2
     take = int(quotas.sum()) * left // shards
-    # the marginals method has no limit on the sum
+    # the draws of a plan are far fewer than the 10^9 that this method allows
     mine = rng.multivariate_hypergeometric(quotas, take, method="marginals") if take else np.zeros_like(quotas)
-    return np.vstack([split_quotas(mine, left, rng), split_quotas(quotas - mine, shards - left, rng)])
+    yield from split_quotas(mine, left, rng, first, of)
+    yield from split_quotas(quotas - mine, shards - left, rng, first + left, of)
+
+
+@dataclass
+class Source:
+    name: str | None
+    size: int
+    target: Fraction
+    bits: int  # of the hash that tell the source's blocks
+
+
+@dataclass
+class Plan:
+    sources: list[Source]
+    draws: pa.Table  # __k (place in sources), __block, __bound (rows with a hash below it), __shard
+    shards: int
+
+    def draws_for(self, spark: SparkSession) -> DataFrame:
+        draws = spark.createDataFrame(self.draws, "__k int, __block int, __bound long, __shard int")
+        return F.broadcast(draws) if self.draws.num_rows <= BROADCAST_DRAWS else draws
 
 
 def placed(docs: DataFrame, keys: list[str], source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Every row with __source, __size, and its place: __h, of HASH_BITS bits, and __block."""
+    """Every row with __source, __size, and its place: __h, of HASH_BITS bits."""
     h = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit("mix")), 64 - HASH_BITS)
-    return docs.select("*", F.col(source_col).cast("string").alias("__source"), n_words(F.col(text_col)).alias("__size"), h.alias("__h")).withColumn("__block", F.shiftrightunsigned("__h", HASH_BITS - BLOCK_BITS).cast("int"))
+    return docs.select("*", F.col(source_col).cast("string").alias("__source"), n_words(F.col(text_col)).alias("__size"), h.alias("__h"))
 
 
-def plan(rows: DataFrame, shards: int = 64, seed: int = 17) -> tuple[DataFrame, dict[str | None, tuple[int, Fraction]]]:
-    """From rows with __source, __size, __h, __block: the draws (source, block, bound: rows with a hash below it, shard), and each source's size and target."""
-    spark = rows.sparkSession
-    blocks = rows.groupBy("__source", "__block").agg(F.sum("__size").alias("n")).collect()  # sources x BLOCKS at most
-    words: dict[str | None, np.ndarray] = {}
-    for r in blocks:
-        words.setdefault(r["__source"], np.zeros(BLOCKS, np.int64))[r["__block"]] = r.n
-    if len(words) > MAX_SOURCES:
+def blocked(rows: DataFrame, sources: list[Source]) -> DataFrame:
+    """The placed rows with __k and __block; at most MAX_SOURCES sources go out by broadcast."""
+    known = rows.sparkSession.createDataFrame([(s.name, k, s.bits) for k, s in enumerate(sources)], "__name string, __k int, __bits int")
+    block = F.expr(f"cast(shiftrightunsigned(__h, {HASH_BITS} - __bits) as int)")
+    return rows.join(F.broadcast(known), F.col("__source").eqNullSafe(F.col("__name"))).withColumn("__block", block).drop("__name", "__bits")
+
+
+def sources_of(rows: DataFrame) -> list[Source]:
+    got = rows.groupBy("__source").agg(F.sum("__size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(got) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = sorted(words, key=lambda s: (s is None, s or ""))
-    target = source_targets([(s, int(words[s].sum())) for s in sources])
-    draws: dict[str | None, list[tuple[int, int]]] = {}
-    part: dict[str | None, tuple[int, Fraction]] = {}
+    target = source_targets([(r["__source"], r.n) for r in got])
+    got.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
+    return [Source(r["__source"], r.n, target[r["__source"]], max(BLOCK_BITS, (-(-r.n // WORDS_A_BLOCK) - 1).bit_length())) for r in got]
+
+
+def plan(rows: DataFrame, shards: int | None = None, seed: int = 17) -> Plan:
+    """From rows with __source, __size, __h: what is drawn, and into which shard."""
+    sources = sources_of(rows)
+    shards = shards or max(LEAST_SHARDS, -(-int(sum(s.target for s in sources)) // WORDS_A_SHARD))
+    words = [np.zeros(1 << s.bits, np.int64) for s in sources]
+    numbered = blocked(rows, sources)
+    # at most 2^BLOCK_BITS rows a source and two for every WORDS_A_BLOCK words
+    for r in numbered.groupBy("__k", "__block").agg(F.sum("__size").alias("n")).toLocalIterator():
+        words[r["__k"]][r["__block"]] = r.n
+    whole = 1 << HASH_BITS
+    draws: list[list[tuple[int, int]]] = []
+    part: dict[int, tuple[int, Fraction]] = {}
     for k, s in enumerate(sources):
-        total, rng = int(words[s].sum()), np.random.default_rng([seed, k])
-        passes, rest = divmod(target[s], total) if total else (0, Fraction(0))
-        full = np.flatnonzero(words[s])
-        draws[s] = [(int(b), 1 << HASH_BITS) for _ in range(int(passes)) for b in rng.permutation(full)]
+        rng = np.random.default_rng([seed, k])
+        passes, rest = divmod(s.target, s.size) if s.size else (0, Fraction(0))
+        full = np.flatnonzero(words[k])
+        draws.append([(int(b), whole) for _ in range(int(passes)) for b in rng.permutation(full)])
         for b in rng.permutation(full) if rest else []:
-            if words[s][b] > rest:
-                part[s] = (int(b), rest)
+            if words[k][b] > rest:
+                part[k] = (int(b), rest)
                 break
-            draws[s].append((int(b), 1 << HASH_BITS))
-            rest -= int(words[s][b])
-    for s, bound in bounds(rows, part).items():
-        if bound > part[s][0] << (HASH_BITS - BLOCK_BITS):
-            draws[s].append((part[s][0], bound))
-    quotas = np.array([len(draws[s]) for s in sources], np.int64)
-    split = split_quotas(quotas, shards, np.random.default_rng([seed, 1 << 20])) if len(sources) else np.zeros((shards, 0), np.int64)
-    out = []
-    for k, s in enumerate(sources):
-        order = np.random.default_rng([seed, k, 1]).permutation(len(draws[s]))
-        ends = np.cumsum(split[:, k])
-        shard = np.searchsorted(ends, np.arange(len(order)), side="right")
-        out += [(s, *draws[s][i], int(shard[j])) for j, i in enumerate(order)]
-    table = spark.createDataFrame(out, "__source string, __block int, __bound long, __shard int")
-    return table, {s: (int(words[s].sum()), target[s]) for s in sources}
-
-
-def bounds(rows: DataFrame, part: dict[str | None, tuple[int, Fraction]]) -> dict[str | None, int]:
+            draws[k].append((int(b), whole))
+            rest -= int(words[k][b])
+    start = {k: b << (HASH_BITS - sources[k].bits) for k, (b, _) in part.items()}
+    for k, bound in bounds(numbered, part, [s.bits for s in sources]).items():
+        if bound > start[k]:
+            draws[k].append((part[k][0], bound))
+    order = [np.random.default_rng([seed, k, 1]).permutation(len(d)) for k, d in enumerate(draws)]
+    used, out = [0] * len(sources), []
+    for shard, of, quotas in split_quotas(np.array([len(d) for d in draws], np.int64), shards, np.random.default_rng([seed, 1 << 20])):
+        for k, q in zip(of.tolist(), quotas.tolist()):
+            out += [(k, *draws[k][i], shard) for i in order[k][used[k] : used[k] + q]]
+            used[k] += q
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int32())
+    table = pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(("__k", "__block", "__bound", "__shard"), types))})
+    return Plan(sources, table, shards)
+
+
+def bounds(rows: DataFrame, part: dict[int, tuple[int, Fraction]], bits: list[int]) -> dict[int, int]:
     """For each source, the hash below which its part-taken block holds nearest to the words wanted, in counts by ever finer ranges."""
     spark = rows.sparkSession
-    low = {s: b << (HASH_BITS - BLOCK_BITS) for s, (b, _) in part.items()}
-    rest = {s: w for s, (_, w) in part.items()}
-    bits = HASH_BITS - BLOCK_BITS
-    while part and bits > 0:
-        step = max(0, bits - FINE_BITS)
-        at = spark.createDataFrame([(s, low[s]) for s in part], "s string, low long")
+    left = {k: HASH_BITS - bits[k] for k in part}  # bits of the range that still holds the bound
+    low = {k: b << left[k] for k, (b, _) in part.items()}
+    rest = {k: w for k, (_, w) in part.items()}
+    while open_ := [k for k in part if left[k] > 0]:
+        step = {k: max(0, left[k] - FINE_BITS) for k in open_}
+        at = spark.createDataFrame([(k, low[k], low[k] + (1 << left[k]), step[k]) for k in open_], "k int, low long, high long, step int")
         # at most one row a source
-        inside = rows.join(F.broadcast(at), F.col("__source").eqNullSafe(F.col("s")) & (F.col("__h") >= F.col("low")) & (F.col("__h") < F.col("low") + F.lit(1 << bits)))
-        counts: dict[str | None, list[tuple[int, int]]] = {s: [] for s in part}
-        for r in inside.groupBy("s", F.shiftrightunsigned(F.col("__h") - F.col("low"), step).alias("f")).agg(F.sum("__size").alias("n")).collect():
-            counts[r.s].append((r.f, r.n))
-        for s in part:
-            for f, n in sorted(counts[s]):
-                if n > rest[s]:
-                    low[s] += f << step
+        inside = rows.join(F.broadcast(at), (F.col("__k") == F.col("k")) & (F.col("__h") >= F.col("low")) & (F.col("__h") < F.col("high")))
+        counts: dict[int, list[tuple[int, int]]] = {k: [] for k in open_}
+        for r in inside.groupBy("k", F.expr("shiftrightunsigned(__h - low, step)").alias("f")).agg(F.sum("__size").alias("n")).toLocalIterator():
+            counts[r.k].append((r.f, r.n))
+        for k in open_:
+            for f, n in sorted(counts[k]):
+                if n > rest[k]:
+                    low[k] += f << step[k]
                     # at the last bits a range is rows of one hash: take it if that comes nearer
-                    if not step and 2 * rest[s] >= n:
-                        low[s] += 1
+                    if not step[k] and 2 * rest[k] >= n:
+                        low[k] += 1
                     break
-                rest[s] -= n
+                rest[k] -= n
             else:
-                low[s] += 1 << bits
-        bits = step
+                low[k] += 1 << left[k]
+            left[k] = step[k]
     return low
 
 
-def drawn(rows: DataFrame, draws: DataFrame) -> DataFrame:
-    """A row for each time that the mix takes a row, with its __shard. The plan is joined by broadcast only while it is small."""
-    small = F.broadcast(draws) if draws.count() <= 200_000 else draws
-    salted = rows.join(small, rows["__source"].eqNullSafe(small["__source"]) & (rows["__block"] == small["__block"]) & (rows["__h"] < small["__bound"]))
-    return salted.select(*[rows[f"`{c}`"] for c in rows.columns], small["__shard"])
-
-
-def mix(docs: DataFrame, keys: list[str] | None = None, shards: int = 64, seed: int = 17, source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, keys: list[str] | None = None, shards: int | None = None, seed: int = 17, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed rows, with their columns, as often as the mix takes them: a partition a shard, shuffled by hash inside."""
     keys = keys or [c for c in docs.columns if c != source_col]
     rows = placed(docs, keys, source_col, text_col)
-    thin = stored(rows.select("__source", "__size", "__h", "__block"), "places")
-    draws, _ = plan(thin, shards, seed)
-    turn = F.xxhash64("__h", "__shard")
-    return drawn(rows, draws).repartition(shards, "__shard").sortWithinPartitions("__shard", turn).select(*[f"`{c}`" for c in docs.columns])
+    planned = plan(stored(rows.select("__source", "__size", "__h"), "places"), shards, seed)
+    r, d = blocked(rows, planned.sources), planned.draws_for(docs.sparkSession)
+    taken = r.join(d, (r["__k"] == d["__k"]) & (r["__block"] == d["__block"]) & (r["__h"] < d["__bound"])).select(*[r[f"`{c}`"] for c in docs.columns], r["__h"], d["__shard"])
+    return taken.repartitionById(planned.shards, F.col("__shard")).sortWithinPartitions(F.xxhash64("__h", "__shard")).select(*[f"`{c}`" for c in docs.columns])
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keys: list[str] | None = None, shards: int = 64, seed: int = 17) -> DataFrame:
+def summary(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keys: list[str] | None = None, shards: int | None = None, seed: int = 17) -> DataFrame:
     """What the mix takes of each row: doc_id, size, source_size, target, taken."""
-    keys = keys or [c for c in docs.columns if c != source_col]
-    rows = stored(placed(docs, keys, source_col, text_col).select(F.col(id_col).alias("doc_id"), "__source", "__size", "__h", "__block"), "places")
-    draws, sources = plan(rows, shards, seed)
     spark = docs.sparkSession
-    totals = spark.createDataFrame([(s, n, float(t)) for s, (n, t) in sources.items()], "s string, source_size long, target double")
-    # a row a source, and what is drawn of a block: whole passes, and rows below a bound
-    whole = draws.groupBy(F.col("__source").alias("bs"), F.col("__block").alias("bb")).agg(F.sort_array(F.collect_list("__bound")).alias("bounds"), F.sort_array(F.collect_list("__shard")).alias("shards"))
-    r = rows.join(F.broadcast(totals), F.col("__source").eqNullSafe(F.col("s"))).join(F.broadcast(whole), F.col("__source").eqNullSafe(F.col("bs")) & (F.col("__block") == F.col("bb")), "left")
-    times = F.coalesce(F.size(F.filter("bounds", lambda b: b > F.col("__h"))), F.lit(0))
-    times = F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(times)
+    keys = keys or [c for c in docs.columns if c != source_col]
+    rows = stored(placed(docs, keys, source_col, text_col).select(F.col(id_col).alias("doc_id"), "__source", "__size", "__h"), "places")
+    planned = plan(rows, shards, seed)
+    # a row a source, MAX_SOURCES at most
+    totals = spark.createDataFrame([(k, s.size, float(s.target)) for k, s in enumerate(planned.sources)], "__k int, source_size long, target double")
+    # what is drawn of a block: whole passes, and rows below a bound
+    bounds_of = planned.draws_for(spark).groupBy("__k", "__block").agg(F.collect_list("__bound").alias("bounds"))
+    small = planned.draws.num_rows <= BROADCAST_DRAWS
+    r = blocked(rows, planned.sources).join(F.broadcast(totals), "__k").join(F.broadcast(bounds_of) if small else bounds_of, ["__k", "__block"], "left")
+    times = F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(F.size(F.filter("bounds", lambda b: b > F.col("__h"))))
     return r.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * times).cast("long").alias("taken"))
