@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
 
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with all its columns: that of the smallest id (null ids last; then by a hash of the row)."""
-    key = F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))])
+    # of 128 bits, as 64 would make different rows meet by chance in a table of 10^10 rows
+    key = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary"))
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("key"))
     printed = stored(fingerprints(docs, [F.col(id_col).alias("id"), key.alias("key")], width, text_col), "printed")
     of_fp = printed.groupBy("fp").agg(F.min(order).alias("first"))
