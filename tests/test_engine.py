@@ -235,3 +235,19 @@ def test_timestamps():
     assert parse_timestamp("2026-01-02 03:04:05.1234567").microsecond == 123456
     with pytest.raises(QueryError):
         parse_timestamp("2026")
+
+
+def test_nested_reads_reach_only_their_parents(shop, spark):
+    # orders 10 to 12 share a user; the lists below hold that user's own orders and their items
+    got = shop.graphql("{ orders(where: {status: {_eq: \"open\"}}, limit: 3) { id user { name orders(limit: 2) { id items { product } } } } }")
+    ann = {"name": "ann", "orders": [{"id": 10, "items": [{"product": "pen"}, {"product": "ink"}]}, {"id": 11, "items": []}]}
+    assert got == {"data": {"orders": [{"id": 10, "user": ann}, {"id": 12, "user": ann}, {"id": 13, "user": {"name": "bob", "orders": [{"id": 13, "items": []}]}}]}}
+    from wayfinder.operators.lower import Lowering
+    from wayfinder.plans.nodes import Field, Filter, Map, Scan
+    from wayfinder.functions.expr import Cmp, Col, Lit, Outer
+
+    users = Filter(Scan("users", "u", "primary"), Cmp("=", Col("u", "name"), Lit("ann")))
+    plan = Map(users, (Field("orders", Scan("orders", "o", "by_user", eq=(Outer("u", "id"),)), False),))
+    df = Lowering(shop.catalog, shop.tables).run(plan)
+    assert "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [o.id for o in df.collect()[0].orders] == [10, 11, 12]

@@ -31,6 +31,7 @@ class Frame:
     order: Order  # a total order of the rows
     key: list[str]  # internal columns that tell rows apart
     names: list[tuple[str, str]] = field(default_factory=list)  # output name, internal column, of a projection
+    narrow: bool = False  # keys, bounds, filters or limits leave out part of the relation
 
     def resolve(self, e: Expr) -> tuple[str, Column]:
         hits = [k for k in self.types if k[1] == e.name and e.qual in ("", k[0])]
@@ -43,6 +44,15 @@ class Frame:
         return self.types[hits[0]], F.col(f"`{internal(*hits[0])}`")
 
 
+@dataclass
+class Within:
+    """The read of a nested plan, of rows that an outer row reaches: keys are those rows' values of the columns."""
+
+    scan: Scan
+    columns: list[str]
+    keys: DataFrame
+
+
 def sort_columns(order: Order) -> list[Column]:
     return [F.col(f"`{c}`").desc() if d else F.col(f"`{c}`").asc() for c, d in order]
 
@@ -96,13 +106,17 @@ class Lowering:
                 return self.access(n)
             case Filter(i, p):
                 f = self.lower(i)
-                f.df = f.df.where(self.compiler(f).boolean(p))
+                f.df, f.narrow = f.df.where(self.compiler(f).boolean(p)), True
+                return f
+            case Within():
+                f = self.access(n.scan)
+                f.df, f.narrow = self.reached(f.df, n.columns, n.keys), True
                 return f
             case Lookup():
                 return self.lookup(n)
             case Limit(i, k):
                 f = self.lower(i)
-                f.df = f.df.orderBy(*sort_columns(f.order)).limit(k)
+                f.df, f.narrow = f.df.orderBy(*sort_columns(f.order)).limit(k), True
                 return f
             case Map(i, fields):
                 f = self.lower(i)
@@ -161,8 +175,24 @@ class Lowering:
                 f.order = self.path_order(rel, alias, n.path, i, n.reverse)
                 if n.limit is not None:
                     f.df = f.df.orderBy(*sort_columns(f.order)).limit(n.limit)
+        f.narrow = not isinstance(n, Scan) or bool(n.eq or n.lo or n.hi or n.limit is not None)
         return f
 
+    def keys_of(self, f: Frame, exprs: list[Expr], cols: list[Column], df: DataFrame) -> DataFrame:
+        """The distinct values of cols (for the expressions, of the frame's rows df)."""
+        keys = df.select(*[c.alias(self.fresh("o")) for c in cols])
+        plain = {internal(*t) for e in exprs if isinstance(e, (Col, Outer)) for t in f.types if t[1] == e.name and e.qual in ("", t[0])}
+        return keys if f.key and plain.issuperset(f.key) else keys.distinct()
+
+    def reached(self, df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
+        """The rows that the keys reach, so that what follows ranks and groups no others."""
+        new = [self.fresh("r") for _ in columns]
+        cond = None
+        for c, k in zip(columns, new):
+            one = F.col(f"`{c}`") == F.col(k)
+            cond = one if cond is None else cond & one
+        return df.join(keys.toDF(*new), cond, "left_semi")
+
     def lookup(self, n: Lookup) -> Frame:
         f = self.lower(n.input)
         rel = self.catalog.relation(n.rel)
@@ -186,14 +216,19 @@ class Lowering:
             # the first rows of each key; the input has one row, or shares what its keys reach
             w = Window.partitionBy(*[F.col(f"`{col}`") for _, col in keys]).orderBy(*sort_columns(order))
             rank = self.fresh("rank")
+            if f.narrow:
+                right = self.reached(right, [col for _, col in keys], self.keys_of(f, list(n.key), [F.col(k) for k, _ in keys], left))
             right = right.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n.limit).drop(rank)
         df = left.join(right, cond, "left" if n.optional else "inner").drop(*[k for k, _ in keys])
-        return Frame(df, f.types | t.types, f.order + order if n.many else f.order, f.key + t.key if n.many else f.key)
+        return Frame(df, f.types | t.types, f.order + order if n.many else f.order, f.key + t.key if n.many else f.key, narrow=f.narrow)
 
     def nest(self, f: Frame, x: Field) -> None:
         """Add a list of records, or one record or NULL, by key equality with the outer row."""
         child, links = self.unlink(x.plan)
         child, limit = without_limit(child)
+        # one record without lists of its own needs the join below only
+        if f.narrow and not (x.one and limit is None and not has_fields(child)):
+            child = self.within(f, child, links)
         inner = self.lower(child)
         pairs = []
         for e, outer in links:
@@ -225,6 +260,22 @@ class Lowering:
         f.df = f.df.withColumn(col, F.col(out) if x.one else F.coalesce(F.col(out), empty)).drop(out)
         f.types[("", x.name)] = "nested"
 
+    def within(self, f: Frame, child: Node, links: list[tuple[Expr, Outer]]) -> Node | Within:
+        """The nested plan over what the outer rows reach of the relation that it reads."""
+        chain = [child]
+        while not isinstance(chain[-1], Scan):
+            chain.append(chain[-1].input)
+        scan = chain[-1]
+        alias = scan.alias or scan.rel
+        mine = [(internal(alias, e.name), o, f.resolve(Col(o.qual, o.name))[1]) for e, o in links if isinstance(e, Col) and e.qual == alias]
+        # a limit further in counts all rows, so it must see them
+        if not mine or scan.limit is not None or any(isinstance(x, Limit) for x in chain):
+            return child
+        out: Node | Within = Within(scan, [c for c, _, _ in mine], self.keys_of(f, [o for _, o, _ in mine], [c for _, _, c in mine], f.df))
+        for x in reversed(chain[:-1]):
+            out = replace(x, input=out)
+        return out
+
     def unlink(self, n: Node) -> tuple[Node, list[tuple[Expr, Outer]]]:
         """The plan without its key equalities to the outer row, and those."""
         match n:
@@ -264,6 +315,10 @@ class Lowering:
         return Limit(Filter(inner, And(tuple(preds))) if preds else inner, n.limit)
 
 
+def has_fields(n: Node) -> bool:
+    return isinstance(n, Map) or (not isinstance(n, Scan) and has_fields(n.input))
+
+
 def without_limit(n: Node) -> tuple[Node, int | None]:
     """A nested plan without its limit, which then holds for each outer row."""
     match n:
