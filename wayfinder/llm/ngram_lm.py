@@ -12,8 +12,8 @@ row a block and shard; a shard adds up and answers each block in the block's own
 their block again. So a frequent word costs one entry a block, and both shuffles carry sorted 64-bit hashes
 and small counts. N-grams are told by 64-bit hashes. Sums of counts cover all training documents; the
 weights come from a histogram of fixed size over all training tokens (ratios of estimates in fine
-logarithmic steps). A task holds one block (some 20 bytes a byte of text, as every token has its counts) or
-one shard (some 6 bytes a byte of text); there are bytes^2 / (block_bytes * shard_bytes) rows.
+logarithmic steps). A task holds one block (measured: some 15 bytes a byte of its text) or one shard (some 85
+bytes a distinct n-gram of each block); there are bytes^2 / (block_bytes * shard_bytes) rows.
 
 Defined results: null and empty texts are the end token alone; repeated rows count and are scored each;
 with nothing to learn from, counts are zero and every token has the uniform probability.
