@@ -251,3 +251,14 @@ def test_nested_reads_reach_only_their_parents(shop, spark):
     df = Lowering(shop.catalog, shop.tables).run(plan)
     assert "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
     assert [o.id for o in df.collect()[0].orders] == [10, 11, 12]
+
+
+def test_nested_limit_below_a_filter_is_refused(shop):
+    from wayfinder.functions.expr import Cmp, Col, Lit, Outer
+    from wayfinder.operators.lower import Lowering
+    from wayfinder.plans.nodes import Field, Filter, Limit, Map, Scan
+
+    orders = Scan("orders", "o", "by_user", eq=(Outer("u", "id"),))
+    plan = Map(Scan("users", "u", "primary"), (Field("orders", Filter(Limit(orders, 1), Cmp("=", Col("o", "status"), Lit("open"))), False),))
+    with pytest.raises(QueryError):
+        Lowering(shop.catalog, shop.tables).run(plan)

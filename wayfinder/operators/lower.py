@@ -226,6 +226,8 @@ class Lowering:
         """Add a list of records, or one record or NULL, by key equality with the outer row."""
         child, links = self.unlink(x.plan)
         child, limit = without_limit(child)
+        if limited(child):
+            raise QueryError("a limit below a filter or lookup of a nested plan")
         # one record without lists of its own needs the join below only
         if f.narrow and not (x.one and limit is None and not has_fields(child)):
             child = self.within(f, child, links)
@@ -268,8 +270,7 @@ class Lowering:
         scan = chain[-1]
         alias = scan.alias or scan.rel
         mine = [(internal(alias, e.name), o, f.resolve(Col(o.qual, o.name))[1]) for e, o in links if isinstance(e, Col) and e.qual == alias]
-        # a limit further in counts all rows, so it must see them
-        if not mine or scan.limit is not None or any(isinstance(x, Limit) for x in chain):
+        if not mine:
             return child
         out: Node | Within = Within(scan, [c for c, _, _ in mine], self.keys_of(f, [o for _, o, _ in mine], [c for _, _, c in mine], f.df))
         for x in reversed(chain[:-1]):
@@ -319,6 +320,11 @@ def has_fields(n: Node) -> bool:
     return isinstance(n, Map) or (not isinstance(n, Scan) and has_fields(n.input))
 
 
+def limited(n: Node) -> bool:
+    """Whether a limit is left in the plan; it would count the rows of all outer rows together."""
+    return n.limit is not None if isinstance(n, Scan) else isinstance(n, Limit) or limited(n.input)
+
+
 def without_limit(n: Node) -> tuple[Node, int | None]:
     """A nested plan without its limit, which then holds for each outer row."""
     match n:
