@@ -133,6 +133,32 @@ def test_chat_folds_logs(spark):
     assert chat.render(chat.fold_events(empty(df))).count() == 0
 
 
+def test_chat_folds_logs_without_ids_and_delivered_twice(spark):
+    rng = random.Random(11)
+    log = [(0, 0, None, "message", "user", "a"), (0, 1, None, "message", "assistant", "b"), (0, 2, None, "delta", None, "c"), (0, 3, None, "message", "user", "a")]
+    log += [(1, 0, "m", "message", "user", "b")] * 2 + [(2, 0, "m", "message", "user", "a"), *[(2, 1, "m", "edit", None, "b")] * 3, (2, 2, "m", "delta", None, "c")]
+    log += [(3, 0, None, "message", "user", "b")] * 2
+    for c in range(4, 60):
+        some = [(c, rng.randint(0, 12), rng.choice([None, None, "u", "v", "w"]), rng.choice(["message", "message", "delta", "edit", "regenerate", None]), rng.choice(["user", "assistant", None]), rng.choice(["x", "y", "z", None])) for _ in range(rng.randint(1, 14))]
+        log += some + rng.choices(some, k=3)
+    rng.shuffle(log)
+
+    def told_apart(events):
+        at = 0
+        for seq, msg, *rest in sorted(events, key=lambda e: [(x is not None, x if x is not None else "") for x in (e[0], *e[2:], e[1])]):
+            at += msg is None and rest[0] == "message"
+            yield seq, at if msg is None else msg, *rest
+
+    df = spark.createDataFrame(log, "conv_id long, seq long, message_id string, kind string, role string, text string").repartition(5)
+    got = {}
+    for r in chat.fold_events(df).collect():
+        got.setdefault(r.conv_id, []).append((r.position, r.role, r.text))
+    assert [t for *_, t in sorted(got[0])] == ["a", "bc", "a"] and got[1] == [(0, "user", "b")] and got[2] == [(0, "user", "bc")] and len(got[3]) == 2
+    turns = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.render(chat.fold_events(df)).select("conv_id", chat.parse(F.col("formatted")).alias("turns")).collect()}
+    for c in {e[0] for e in log}:
+        assert Counter(turns.get(c, [])) == Counter(fold(told_apart([e[1:] for e in log if e[0] == c])))
+
+
 def test_chat_round_trip(spark):
     rows = [(1, i, RNG.choice(["user", "assistant", "<s>", None]), t) for i, t in enumerate(ODD)]
     rows.append(rows[3])

@@ -3,15 +3,16 @@
 An event log has one row an event: conversation, sequence number, message, kind, role, text.
 Kinds: `message` opens a message or restates it, `delta` appends to it, `edit` puts a text in place of
 what it holds, `regenerate` empties it and drops every later message that had begun by then. Other or null
-kinds count as `delta`. The fold sorts a conversation's events by sequence (ties: kind, role, text, so
-reruns agree) and needs one shuffle, by conversation; running sums over a sorted partition spill, and
+kinds count as `delta`. The fold sorts a conversation's events by sequence (ties: kind, role, text, message
+id, so reruns agree) and needs one shuffle, by conversation; running sums over a sorted partition spill, and
 only a message's pieces and a conversation's messages are gathered, which is the size of the output row.
 
 Template: each turn is `<s>[INST]role[/INST]text</s>`. In roles and texts a backslash follows every `<`,
 `[` and backslash, so no control string survives inside them, and taking it away again is exact.
 
 Defined results: null texts and roles are empty, repeated rows are repeated events (each `message` row
-without a message id is a message of its own), a null conversation id is one conversation.
+without a message id is a message of its own, to which later events without one belong), a null
+conversation id is one conversation.
 """
 
 from __future__ import annotations
@@ -37,23 +38,25 @@ def fold_events(events: DataFrame, conv: str = "conv_id", seq: str = "seq", mess
         F.col(conv).alias("conv_id"), F.col(seq).alias("seq"), F.col(message).alias("message_id"), F.col(kind).alias("kind"),
         F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     ).repartition("conv_id")
-    order = ["seq", "kind", "role", "text"]
-    by_message = Window.partitionBy("conv_id", "message_id").orderBy(*order)
-    whole_message = Window.partitionBy("conv_id", "message_id")
-    restart = F.col("kind").isin("message", "edit", "regenerate").cast("int")
-    e = e.withColumn("position", F.min("seq").over(whole_message)).withColumn("version", F.sum(F.coalesce(restart, F.lit(0))).over(by_message))
+    # n tells a conversation's events apart, repeated ones too
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "kind", "role", "text", "message_id")))
+    opens = F.when(F.col("message_id").isNull() & (F.col("kind") == "message"), 1).otherwise(0)
+    so_far = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumn("opened", F.when(F.col("message_id").isNull(), F.sum(opens).over(so_far)).otherwise(0))
+    one = ["conv_id", "message_id", "opened"]
+    e = e.withColumn("position", F.min("seq").over(Window.partitionBy(*one)))
     # a message goes if a later regeneration concerns one that had begun before it
-    later = Window.partitionBy("conv_id").orderBy(F.col("seq").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("conv_id").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = e.withColumn("cut", F.min(F.when(F.col("kind") == "regenerate", F.col("position"))).over(later))
-    pieces = e.groupBy("conv_id", "message_id").agg(
+    pieces = e.groupBy(*one).agg(
         F.min("position").alias("position"),
-        F.max("version").alias("last"),
-        F.max_by("cut", F.struct(-F.col("seq"))).alias("cut"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.struct(*order))).alias("role"),
-        F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "version"))).alias("pieces"),
+        F.coalesce(F.max(F.when(F.col("kind").isin("message", "edit", "regenerate"), F.col("n"))), F.lit(0)).alias("restart"),
+        F.min_by("cut", "n").alias("cut"),
+        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("n"))).alias("role"),
+        F.sort_array(F.collect_list(F.struct("n", "kind", "text"))).alias("pieces"),
     )
     kept = pieces.where(F.col("cut").isNull() | (F.col("cut") >= F.col("position")))
-    text = F.array_join(F.transform(F.filter("pieces", lambda p: (p["version"] == F.col("last")) & (F.coalesce(p["kind"], F.lit("")) != "regenerate")), lambda p: p["text"]), "")
+    text = F.array_join(F.transform(F.filter("pieces", lambda p: (p["n"] >= F.col("restart")) & (F.coalesce(p["kind"], F.lit("")) != "regenerate")), lambda p: p["text"]), "")
     return kept.select("conv_id", "position", "message_id", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
 
 
