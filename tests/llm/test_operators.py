@@ -57,6 +57,21 @@ def test_language_id(spark, docs):
     assert language_id.keep_identified(docs, model, 0.0).columns == docs.columns
 
 
+def test_language_sample_survives_a_hot_text(spark):
+    def share(text, label):
+        (r,) = spark.createDataFrame([(text, label)], "text string, label string").select(F.shiftrightunsigned(F.xxhash64("text", "label"), 11) / float(1 << 53)).collect()
+        return r[0]
+
+    rare = [f"rare {i}" for i in range(10)]
+    hot = next(t for t in (f"hot {i}" for i in range(1000)) if share(t, "aa") < 0.02)
+    rows = [(hot, "aa")] * 400 + [(f"other {i}", "aa") for i in range(600)] + [(t, "bb") for t in rare * 2]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = language_id.training_sample(df, F.col("lang"), 40)
+    assert {t for t, y in got if y == "bb"} == set(rare) and len(got) == len(set(got))
+    assert got.count((hot, "aa")) == 1 and 5 <= sum(y == "aa" for _, y in got) <= 40
+    assert sorted(got) == sorted(language_id.training_sample(df.repartition(3), F.col("lang"), 40))
+
+
 def test_language_counts_do_not_depend_on_chunks(monkeypatch):
     whole = language_id.term_counts("Ab c, dé" * 50)
     monkeypatch.setattr(language_id, "CHUNK", 7)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches
@@ -83,16 +83,27 @@ class LanguageModel:
         return self.langs[best], float(p[best] / p.sum())
 
 
+def labelled(docs: DataFrame, label: Column, text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(text_col).alias("text"), label.cast("string").alias("label")).where("text is not null and label is not null")
+
+
 def training_sample(docs: DataFrame, label: Column, max_rows: int, text_col: str = "text") -> list[tuple[str, str]]:
-    """At most about max_rows labelled texts, shared out evenly between the labels: rows with the smallest hashes."""
-    rows = docs.select(F.col(text_col).alias("text"), label.cast("string").alias("label")).where("text is not null and label is not null")
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """About max_rows different labelled texts, shared out evenly between the labels: those with the smallest hashes.
+
+    Copies count once, so a text that many rows hold takes one place; the limit holds for each label by itself.
+    """
+    rows = labelled(docs, label, text_col)
+    hashed = F.xxhash64("text", "label")
+    # an estimate of the different texts will do for the rate
+    counts = {r.label: max(r.n, 1) for r in rows.groupBy("label").agg(F.approx_count_distinct(hashed).alias("n")).collect()}
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
     rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
-    share = F.shiftrightunsigned(F.xxhash64("text", "label"), 11) / F.lit(float(1 << 53))
-    got = rows.withColumn("share", share).where(F.col("share") < rate[F.col("label")]).orderBy("share", "label", "text").limit(2 * max_rows)
+    share = F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
+    few = rows.withColumn("share", share).where(F.col("share") < rate[F.col("label")]).distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("share", "text"))
+    got = few.withColumn("place", place).where(F.col("place") <= 2 * each).orderBy("share", "label", "text")
     return [(r.text, r.label) for r in got.select("text", "label").collect()]
 
 
