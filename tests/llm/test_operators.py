@@ -72,6 +72,15 @@ def test_language_sample_survives_a_hot_text(spark):
     assert sorted(got) == sorted(language_id.training_sample(df.repartition(3), F.col("lang"), 40))
 
 
+def test_language_idf_counts_all_training_rows(spark):
+    rows = [(f"{w} {i:b} w{i}x", "aa" if i % 2 else "bb") for i, w in enumerate(WORDS)] + [("12", "aa"), (None, "aa"), ("no label", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    texts = [t for t, y in rows if t and y and any(c.isalpha() for c in t)]
+    seen = sum((language_id.term_counts(t) > 0).astype(int) for t in texts)
+    model = language_id.train(df, max_train_rows=8)
+    assert np.allclose(model.idf, np.log((1 + len(texts)) / (1 + seen)) + 1)
+
+
 def test_language_counts_do_not_depend_on_chunks(monkeypatch):
     whole = language_id.term_counts("Ab c, dé" * 50)
     monkeypatch.setattr(language_id, "CHUNK", 7)

@@ -6,7 +6,8 @@ scaled to length one. The weights are trained with follow-the-regularised-leader
 penalty (the L1 part keeps them sparse), then a softmax temperature is fitted on labelled rows that
 the weights have not seen.
 
-The fit uses a bounded sample of labelled rows (`max_train_rows`); prediction covers every whole text,
+Document frequencies are counted over all labelled training rows, in one pass of fixed-size partial sums. The
+classifier's fit uses a bounded sample of their different texts (`max_train_rows`); prediction covers every whole text,
 in slices of `CHUNK` code points, so memory does not depend on a text's length.
 
 Defined results: a null text or one without a letter gets `und` with score 0.0; with nothing to learn
@@ -107,7 +108,29 @@ def training_sample(docs: DataFrame, label: Column, max_rows: int, text_col: str
     return [(r.text, r.label) for r in got.select("text", "label").collect()]
 
 
-def fit(sample: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, seed: int = 7) -> LanguageModel:
+def document_frequencies(docs: DataFrame, label: Column, text_col: str = "text") -> tuple[int, np.ndarray]:
+    """How many labelled texts have a letter, and how many of them have each hashed n-gram: all rows, summed by task and then by n-gram."""
+
+    def run(batches):
+        total, seen = 0, np.zeros(DIM, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if LETTER.search(t):
+                    total += 1
+                    seen += term_counts(t) > 0
+        if total:
+            idx = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(idx, DIM), pa.int32()), pa.array(np.append(seen[idx], total), pa.int64())], ["idx", "n"])
+
+    rows = map_batches(labelled(docs, label, text_col).select("text"), run, "idx int, n long")
+    # the last place holds the number of texts
+    out = np.zeros(DIM + 1, np.int64)
+    for r in rows.groupBy("idx").agg(F.sum("n").alias("n")).collect():
+        out[r.idx] = r.n
+    return int(out[DIM]), out[:DIM]
+
+
+def fit(sample: list[tuple[str, str]], total: int, seen: np.ndarray, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, seed: int = 7) -> LanguageModel:
     sample = [(t, y) for t, y in sample if LETTER.search(t)]
     langs = sorted({y for _, y in sample})
     k = len(langs)
@@ -115,10 +138,7 @@ def fit(sample: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta
     if k < 2:
         return model
     counts = [sparse(term_counts(t)) for t, _ in sample]
-    seen = np.zeros(DIM)
-    for idx, _ in counts:
-        seen[idx] += 1
-    model.idf = np.log((1 + len(sample)) / (1 + seen)) + 1
+    model.idf = np.log((1 + total) / (1 + seen)) + 1
     rows = [model.features(*c) for c in counts]
     target = np.eye(k)[[langs.index(y) for _, y in sample]]
     order = np.random.default_rng(seed).permutation(len(rows))
@@ -167,7 +187,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang", max_train_rows: int = 4000) -> LanguageModel:
     rows = docs if where is None else docs.where(where)
-    return fit(training_sample(rows, F.col(lang_col), max_train_rows, text_col))
+    return fit(training_sample(rows, F.col(lang_col), max_train_rows, text_col), *document_frequencies(rows, F.col(lang_col), text_col))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_cols: list[Column], text_col: str = "text") -> DataFrame:
