@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents through language ID, quality rules, near-dedup, mixing and encoding.
+"""The corpus pipeline: documents through language ID, quality rules, near-dedup, mixing, encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a
 DataFrame that is written as Parquet and read again as the next one's docs. All but the last return the
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), [F.col("doc_id"), F.col("source")])
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), [F.col("doc_id"), F.col("source")], decoded=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

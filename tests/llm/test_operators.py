@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -350,6 +351,16 @@ def test_piece_digest(spark, docs):
     assert {r.doc_id: r.text for r in back.collect()}[3] == ALL[3]
 
 
+def test_pipeline_decodes_what_it_encodes(spark, docs):
+    rows = corpus_pipeline.encode_pieces(spark, docs, "").collect()
+    processor = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert len(rows) == docs.count()
+    for r in rows:
+        text = (ALL[r.doc_id] if r.doc_id is not None else "no id at all") or ""
+        assert r.ids == [*processor.encode(text), processor.eos_id()]
+        assert r.decoded_sha256 == hashlib.sha256(processor.decode(r.ids).encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_lm(spark, docs):
     held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
     got = ngram_lm.score(docs, held, block_bytes=200, shard_bytes=700, least_blocks=3).collect()

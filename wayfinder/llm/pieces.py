@@ -28,25 +28,32 @@ def _fields(docs: DataFrame, id_cols: list[Column]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_cols).schema)
 
 
-def encode(docs: DataFrame, path: str, id_cols: list[Column], add_end: bool = True, text_col: str = "text") -> DataFrame:
-    """The id columns, ids (int32), and the byte span of every piece in the source (the end id has an empty one)."""
+def encode(docs: DataFrame, path: str, id_cols: list[Column], add_end: bool = True, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """The id columns, ids (int32), and the byte span of every piece in the source (the end id has an empty one).
+
+    With decoded, the ids are decoded again and decoded_sha256 is the digest of the text they give.
+    """
 
     def run(batches):
         c = codec(path)
         for b in batches:
-            ids, begins, ends = [], [], []
+            ids, begins, ends, digests = [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 i, s, e = c.encode_parts(t or "")
                 last = int(e[-1]) if len(e) else 0
                 ids.append([*i.tolist(), c.end] if add_end else i.tolist())
                 begins.append([*s.tolist(), last] if add_end else s.tolist())
                 ends.append([*e.tolist(), last] if add_end else e.tolist())
+                if decoded:
+                    digests.append(hashlib.sha256(c.decode_bytes(np.append(i, c.end) if add_end else i)).hexdigest())
+            more = [pa.array(digests, pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))],
-                [*b.schema.names[:-1], "ids", "begins", "ends"],
+                [*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *more],
+                [*b.schema.names[:-1], "ids", "begins", "ends", *["decoded_sha256"] * decoded],
             )
 
-    return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, f"{_fields(docs, id_cols)}, ids array<int>, begins array<long>, ends array<long>")
+    fields = f"{_fields(docs, id_cols)}, ids array<int>, begins array<long>, ends array<long>" + ", decoded_sha256 string" * decoded
+    return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, fields)
 
 
 def decode(encoded: DataFrame, path: str, id_cols: list[Column], ids_col: str = "ids") -> DataFrame:
