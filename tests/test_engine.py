@@ -5,7 +5,9 @@ import pytest
 
 from wayfinder import cli
 from wayfinder.errors import Conflict, DuplicateKey, FullScanRefused, NotSupported, OrderRefused, QueryError, SyntaxFault
+from wayfinder.functions.expr import Col, Lit
 from wayfinder.functions.values import parse_timestamp
+from wayfinder.plans import nodes
 from wayfinder.plans.graphql import schema_text
 from wayfinder.plans.sql import complete
 from wayfinder.session import Session
@@ -122,6 +124,16 @@ def test_reads(shop):
     assert rows(shop.sql("SELECT id FROM orders WHERE created_at > '2026-01-04T12:00:00Z' AND status = 'open'")) == [(13,)]
 
 
+def test_get_many_compares_whole_keys(shop):
+    def get(*keys):
+        return nodes.Project(nodes.GetMany("items", "i", "primary", tuple(tuple(map(Lit, k)) for k in keys)), (("product", Col("i", "product")),))
+
+    assert rows(shop.run(get((10, 2))).df) == [("ink",)]
+    assert rows(shop.run(nodes.Limit(get((12, 1), (10, 1), (10, 9)), 9)).df) == [("pad",), ("pen",)]
+    with pytest.raises(QueryError):
+        shop.run(get((10,)))
+
+
 def test_changes(shop):
     with pytest.raises(DuplicateKey):
         shop.sql("INSERT INTO users VALUES (1, 'x', NULL)")

@@ -8,6 +8,8 @@ fields one grouped aggregate by the parent's key columns, limits a top-k under a
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,10 +157,14 @@ class Lowering:
                     f.df = f.df.where(at(i) == bound(e, i))
                 f.order = self.path_order(rel, alias, n.path, len(n.key), False)
             case GetMany():
-                f.df = f.df.where(at(0).isin(*[bound(k[0], 0) for k in n.keys]))
+                if any(len(k) != len(key) for k in n.keys):
+                    raise QueryError(f"the keys of {rel.name}.{n.path} have {len(key)} columns each")
+                hits = [reduce(and_, [at(i) == bound(e, i) for i, e in enumerate(k)]) for k in n.keys]
+                # one column: a list of values reaches the scan as it is
+                f.df = f.df.where(at(0).isin(*[bound(k[0], 0) for k in n.keys]) if len(key) == 1 else reduce(or_, hits, F.lit(False)))
                 f.order = self.path_order(rel, alias, n.path, 0, False)
                 if len(n.keys) > 1:  # a limit above takes rows in the order of the list
-                    place = F.coalesce(*[F.when(at(0) == bound(k[0], 0), F.lit(i)) for i, k in enumerate(n.keys)])
+                    place = F.coalesce(*[F.when(hit, F.lit(i)) for i, hit in enumerate(hits)])
                     name = self.fresh("place")
                     f.df = f.df.withColumn(name, place)
                     f.order = [(name, False), *f.order]
