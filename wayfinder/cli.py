@@ -5,12 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain, islice
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import SparkSession
 
-from .errors import QueryError
+from .errors import QueryError, running
 from .plans.graphql import Document, schema_text
 from .plans.sql import complete
 from .session import Result, Session
@@ -20,14 +22,26 @@ from .sources.store import MemoryStore, SnapshotStore
 HELP = "\\d tables, \\d NAME columns and paths, \\graphql schema, \\? help, \\q quit"
 
 
-def show(result: Result) -> str:
+#: Rows by which a result's columns get their width; the rest is printed as it comes.
+MEASURED_ROWS = 1000
+
+
+def show(result: Result) -> Iterator[str]:
+    """The lines of a result; its rows pass through the driver a partition at a time."""
     if result.df is None:
-        return f"OK, {result.rows_affected} rows affected"
-    rows = [["NULL" if v is None else str(v) for v in r] for r in result.df.collect()]
-    head = result.df.columns
-    width = [max(len(x) for x in col) for col in zip(head, *rows)]
-    lines = [" | ".join(x.ljust(w) for x, w in zip(r, width)).rstrip() for r in (head, *rows)]
-    return "\n".join([lines[0], "-+-".join("-" * w for w in width), *lines[1:], f"({len(rows)} row{'s' * (len(rows) != 1)})"])
+        yield f"OK, {result.rows_affected} rows affected"
+        return
+    head, n = result.df.columns, 0
+    with running():
+        rows = (["NULL" if v is None else str(v) for v in r] for r in result.df.toLocalIterator())
+        first = list(islice(rows, MEASURED_ROWS))
+        width = [max(len(x) for x in col) for col in zip(head, *first)]
+        yield " | ".join(x.ljust(w) for x, w in zip(head, width)).rstrip()
+        yield "-+-".join("-" * w for w in width)
+        for r in chain(first, rows):
+            n += 1
+            yield " | ".join(x.ljust(w) for x, w in zip(r, width)).rstrip()
+    yield f"({n} row{'s' * (n != 1)})"
 
 
 def describe(session: Session, name: str | None) -> str:
@@ -53,8 +67,9 @@ def shell(session: Session, lines, out) -> None:
             pending += line if line.endswith("\n") else line + "\n"
             if complete(pending):
                 text, pending = pending, ""
-                for r in session.script(text):
-                    print(show(r), file=out)
+                for r in session.each(text):
+                    for row in show(r):
+                        print(row, file=out)
         except QueryError as e:
             pending = ""
             print(f"error: {e}", file=out)
@@ -125,8 +140,9 @@ def main(argv: list[str] | None = None) -> int:
         session = Session(spark, catalog, tables, a.allow_full_scan)
         texts = [open(s).read() for s in a.scripts] + ([a.command] if a.command else [])
         for text in texts:
-            for r in session.script(text):
-                print(show(r))
+            for r in session.each(text):
+                for row in show(r):
+                    print(row)
         if a.http is not None:
             serve(session, a.http).serve_forever()
         elif not texts:

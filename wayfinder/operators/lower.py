@@ -3,6 +3,11 @@
 Access paths decide what is legal and in which order rows come; how data is read, joined and sorted is
 Catalyst's choice: keys and bounds become predicates that reach the scan, Lookups equality joins, nested
 fields one grouped aggregate by the parent's key columns, limits a top-k under a total order.
+
+A nested plan that names its outer row only where a key equals it is grouped by that key. Any other (an outer
+reference in a filter, a bound or an expression, a limit below another step) is run over the distinct values of
+the outer columns that it names: they are joined to the relation that it reads and go with its rows, and limits
+count for each of them.
 """
 
 from __future__ import annotations
@@ -15,12 +20,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..functions.expr import And, Cmp, Col, Compiler, Expr, Outer, conjuncts, text, walk
-from ..plans.nodes import Field, Filter, Get, GetMany, Limit, Lookup, Map, Node, Project, Scan, Sort
-from ..sources.catalog import Catalog, Relation
+from ..functions.expr import And, Cmp, Col, Compiler, Expr, Lit, Outer, Param, conjuncts, text, walk
+from ..functions.values import coerce
+from ..plans.nodes import Field, Filter, Get, GetMany, Limit, Lookup, Map, Node, Project, Scan, Sort, is_one
+from ..plans.policy import outers
+from ..sources.catalog import SPARK_TYPES, Catalog, Relation
 
 Order = list[tuple[str, bool]]  # internal column, descending
 
+#: A longer list of keys becomes a table that is joined; up to BROADCAST_KEYS of them it is broadcast.
+KEYS_IN_PREDICATE, BROADCAST_KEYS = 50, 100_000
+
+
+class RowByRow(Exception):
+    """A nested plan that uses its outer row for more than key equalities."""
+
 
 def internal(alias: str, col: str) -> str:
     return f"{alias}__{col}"
@@ -34,11 +48,20 @@ class Frame:
     key: list[str]  # internal columns that tell rows apart
     names: list[tuple[str, str]] = field(default_factory=list)  # output name, internal column, of a projection
     narrow: bool = False  # keys, bounds, filters or limits leave out part of the relation
+    outer: dict[tuple[str, str], tuple[str, str]] = field(default_factory=dict)  # outer columns that go with the rows: kind, internal column
+
+    @property
+    def per(self) -> list[str]:
+        """The columns that tell for which outer values a row stands."""
+        return [c for _, c in self.outer.values()]
 
     def resolve(self, e: Expr) -> tuple[str, Column]:
-        hits = [k for k in self.types if k[1] == e.name and e.qual in ("", k[0])]
         if isinstance(e, Outer):
-            raise QueryError(f"outer reference {text(e)} outside a nested plan")
+            if (e.qual, e.name) not in self.outer:
+                raise QueryError(f"outer reference {text(e)} outside a nested plan")
+            kind, c = self.outer[e.qual, e.name]
+            return kind, F.col(c)
+        hits = [k for k in self.types if k[1] == e.name and e.qual in ("", k[0])]
         if not hits:
             raise QueryError(f"unknown column {text(e)}")
         if len(hits) > 1:
@@ -63,6 +86,8 @@ class Lowering:
     def __init__(self, catalog: Catalog, tables, params: tuple = ()):
         self.catalog, self.tables, self.params = catalog, tables, params
         self.n = 0
+        #: what the next relation read is joined to: distinct outer values, and their columns
+        self.around: tuple[DataFrame, dict[tuple[str, str], tuple[str, str]]] | None = None
 
     def compiler(self, f: Frame) -> Compiler:
         return Compiler(f.resolve, self.params)
@@ -89,6 +114,10 @@ class Lowering:
         return self.output(f)
 
     def output(self, f: Frame) -> DataFrame:
+        return f.df.select(*self.labelled(f))
+
+    def labelled(self, f: Frame) -> list[Column]:
+        """The columns of the result; those of one name carry their table's, too."""
         names = f.names or [(c, internal(a, c)) for a, c in f.types]
         seen: dict[str, int] = {}
         for name, _ in names:
@@ -100,7 +129,7 @@ class Lowering:
                 label += "_"
             used.add(label)
             out.append(F.col(f"`{col}`").alias(label))
-        return f.df.select(*out)
+        return out
 
     def lower(self, n: Node) -> Frame:
         match n:
@@ -117,9 +146,7 @@ class Lowering:
             case Lookup():
                 return self.lookup(n)
             case Limit(i, k):
-                f = self.lower(i)
-                f.df, f.narrow = f.df.orderBy(*sort_columns(f.order)).limit(k), True
-                return f
+                return self.first_rows(self.lower(i), k)
             case Map(i, fields):
                 f = self.lower(i)
                 for x in fields:
@@ -138,10 +165,25 @@ class Lowering:
                 raise QueryError("a sort that no access path provides")
         raise TypeError(n)
 
+    def first_rows(self, f: Frame, k: int) -> Frame:
+        """The first k rows, of each outer value where there are any."""
+        if f.per:
+            rank = self.fresh("rank")
+            w = Window.partitionBy(*f.per).orderBy(*sort_columns(f.order))
+            f.df = f.df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).drop(rank)
+        else:
+            f.df = f.df.orderBy(*sort_columns(f.order)).limit(k)
+        f.narrow = True
+        return f
+
     def access(self, n: Get | GetMany | Scan) -> Frame:
         rel = self.catalog.relation(n.rel)
         alias = n.alias or n.rel
         f = self.read(rel, alias)
+        if self.around:
+            # the predicates below make it a join on keys and bounds
+            (keys, f.outer), self.around = self.around, None
+            f.df, f.key = keys.crossJoin(f.df), [*f.per, *f.key]
         key = rel.path(n.path).key
         c = self.compiler(f)
 
@@ -159,15 +201,18 @@ class Lowering:
             case GetMany():
                 if any(len(k) != len(key) for k in n.keys):
                     raise QueryError(f"the keys of {rel.name}.{n.path} have {len(key)} columns each")
-                hits = [reduce(and_, [at(i) == bound(e, i) for i, e in enumerate(k)]) for k in n.keys]
-                # one column: a list of values reaches the scan as it is
-                f.df = f.df.where(at(0).isin(*[bound(k[0], 0) for k in n.keys]) if len(key) == 1 else reduce(or_, hits, F.lit(False)))
                 f.order = self.path_order(rel, alias, n.path, 0, False)
+                place = self.fresh("place")
+                if len(n.keys) > KEYS_IN_PREDICATE and all(isinstance(e, (Lit, Param)) for k in n.keys for e in k):
+                    f.df = self.listed(f.df, n, rel, [internal(alias, k) for k in key], place)
+                else:
+                    hits = [reduce(and_, [at(i) == bound(e, i) for i, e in enumerate(k)]) for k in n.keys]
+                    # one column: a list of values reaches the scan as it is
+                    f.df = f.df.where(at(0).isin(*[bound(k[0], 0) for k in n.keys]) if len(key) == 1 else reduce(or_, hits, F.lit(False)))
+                    if len(n.keys) > 1:
+                        f.df = f.df.withColumn(place, F.coalesce(*[F.when(hit, F.lit(i)) for i, hit in enumerate(hits)]))
                 if len(n.keys) > 1:  # a limit above takes rows in the order of the list
-                    place = F.coalesce(*[F.when(hit, F.lit(i)) for i, hit in enumerate(hits)])
-                    name = self.fresh("place")
-                    f.df = f.df.withColumn(name, place)
-                    f.order = [(name, False), *f.order]
+                    f.order = [(place, False), *f.order]
             case Scan():
                 for i, e in enumerate(n.eq):
                     f.df = f.df.where(at(i) == bound(e, i))
@@ -180,10 +225,23 @@ class Lowering:
                     f.df = f.df.where(at(i) <= b if n.hi[1] else at(i) < b)
                 f.order = self.path_order(rel, alias, n.path, i, n.reverse)
                 if n.limit is not None:
-                    f.df = f.df.orderBy(*sort_columns(f.order)).limit(n.limit)
+                    self.first_rows(f, n.limit)
         f.narrow = not isinstance(n, Scan) or bool(n.eq or n.lo or n.hi or n.limit is not None)
         return f
 
+    def listed(self, df: DataFrame, n: GetMany, rel: Relation, columns: list[str], place: str) -> DataFrame:
+        """The rows whose key is in the list, with the place of its first mention; the list becomes a table."""
+        kinds = [rel.column(c).type for c in rel.path(n.path).key]
+        first: dict[tuple, int] = {}
+        compiler = Compiler(lambda e: (_ for _ in ()).throw(QueryError("a key takes values")), self.params)
+        for i, k in enumerate(n.keys):
+            first.setdefault(tuple(coerce(compiler.value(e), t) for e, t in zip(k, kinds)), i)
+        names = [self.fresh("key") for _ in columns]
+        ddl = ", ".join([f"{c} {SPARK_TYPES[t]}" for c, t in zip(names, kinds)] + [f"{place} int"])
+        keys = df.sparkSession.createDataFrame([(*k, i) for k, i in first.items()], ddl)
+        on = reduce(and_, [F.col(f"`{c}`") == F.col(k) for c, k in zip(columns, names)])
+        return df.join(F.broadcast(keys) if len(first) <= BROADCAST_KEYS else keys, on).drop(*names)
+
     def keys_of(self, f: Frame, exprs: list[Expr], cols: list[Column], df: DataFrame) -> DataFrame:
         """The distinct values of cols (for the expressions, of the frame's rows df)."""
         keys = df.select(*[c.alias(self.fresh("o")) for c in cols])
@@ -226,48 +284,76 @@ class Lowering:
                 right = self.reached(right, [col for _, col in keys], self.keys_of(f, list(n.key), [F.col(k) for k, _ in keys], left))
             right = right.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n.limit).drop(rank)
         df = left.join(right, cond, "left" if n.optional else "inner").drop(*[k for k, _ in keys])
-        return Frame(df, f.types | t.types, f.order + order if n.many else f.order, f.key + t.key if n.many else f.key, narrow=f.narrow)
+        return Frame(df, f.types | t.types, f.order + order if n.many else f.order, f.key + t.key if n.many else f.key, narrow=f.narrow, outer=f.outer)
 
     def nest(self, f: Frame, x: Field) -> None:
-        """Add a list of records, or one record or NULL, by key equality with the outer row."""
-        child, links = self.unlink(x.plan)
-        child, limit = without_limit(child)
-        if limited(child):
-            raise QueryError("a limit below a filter or lookup of a nested plan")
-        # one record without lists of its own needs the join below only
-        if f.narrow and not (x.one and limit is None and not has_fields(child)):
-            child = self.within(f, child, links)
-        inner = self.lower(child)
-        pairs = []
-        for e, outer in links:
-            k = self.fresh("k")
-            inner.df = inner.df.withColumn(k, self.compiler(inner).column(e))
-            pairs.append((k, outer))
+        """Add a list of records, or one record or NULL, of the rows that the outer row reaches."""
+        try:
+            inner, pairs, limit = self.linked(f, x)
+        except RowByRow:
+            inner, pairs, limit = self.correlated(f, x), [], None
+            pairs = [(c, f.resolve(Col(*o))[1]) for o, (_, c) in inner.outer.items()]
         by = [F.col(k) for k, _ in pairs]
-        if limit is not None:
-            rank = self.fresh("rank")
-            inner.df = inner.df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*sort_columns(inner.order)))).where(F.col(rank) <= limit)
-        names = inner.names or [(c, internal(a, c)) for a, c in inner.types]
-        record = F.struct(*[F.col(f"`{c}`").alias(name) for name, c in names])
+        record = F.struct(*self.labelled(inner))
+        rank = self.fresh("rank")
+        turns = {d for _, d in inner.order}
+        if limit is not None or len(turns) > 1:
+            inner.df = inner.df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*sort_columns(inner.order))))
+            inner.df, place, down = inner.df if limit is None else inner.df.where(F.col(rank) <= limit), [F.col(rank)], False
+        else:  # one direction: arrays sort as the rows would
+            place, down = [F.col(f"`{c}`") for c, _ in inner.order], turns == {True}
         out = self.fresh("nested")
         if x.one:
             grouped = inner.df.select(*by, record.alias(out))
         else:
-            # sorted by the order's columns, each turned so that ascending is right
-            place = self.fresh("place")
-            ranked = inner.df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*sort_columns(inner.order))))
-            grouped = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("place"), record.alias("record")))).alias(out))
+            item = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(place)], record.alias("record"))
+            grouped = inner.df.groupBy(*by).agg(F.sort_array(F.collect_list(item), not down).alias(out))
             grouped = grouped.withColumn(out, F.transform(out, lambda s: s["record"]))
-        cond = None
-        for k, outer in pairs:
-            one = f.resolve(Col(outer.qual, outer.name))[1] == F.col(k)
-            cond = one if cond is None else cond & one
-        f.df = f.df.join(grouped, cond, "left").drop(*[k for k, _ in pairs])
+        # no pairs: one row, the same for every outer row
+        cond = reduce(and_, [outer.eqNullSafe(F.col(k)) if inner.outer else outer == F.col(k) for k, outer in pairs], F.lit(True))
+        f.df = f.df.join(grouped if pairs else F.broadcast(grouped), cond, "left").drop(*[k for k, _ in pairs])
         col = internal("", x.name)
         empty = F.array().cast(grouped.schema[out].dataType) if not x.one else None
         f.df = f.df.withColumn(col, F.col(out) if x.one else F.coalesce(F.col(out), empty)).drop(out)
         f.types[("", x.name)] = "nested"
 
+    def linked(self, f: Frame, x: Field) -> tuple[Frame, list[tuple[str, Column]], int | None]:
+        """The nested plan without its key equalities to the outer row, those, and the limit that holds for each key."""
+        child, links = self.unlink(x.plan)
+        child, limit = without_limit(child)
+        if outers(child) or links and limited(child):
+            raise RowByRow
+        if x.one and not is_one(x.plan) and not self.one_each(child, links):
+            limit = 1 if limit is None else min(limit, 1)
+        # one record without lists of its own needs the join below only
+        if f.narrow and not (x.one and limit is None and not has_fields(child)):
+            child = self.within(f, child, links)
+        inner = self.lower(child)
+        pairs = []
+        for e, outer in links:
+            k = self.fresh("k")
+            inner.df = inner.df.withColumn(k, self.compiler(inner).column(e))
+            pairs.append((k, f.resolve(Col(outer.qual, outer.name))[1]))
+        return inner, pairs, limit
+
+    def one_each(self, child: Node, links: list[tuple[Expr, Outer]]) -> bool:
+        """Whether the links bind a unique key of the one relation that is read."""
+        while not isinstance(child, Scan):
+            if isinstance(child, Lookup):
+                return False
+            child = child.input
+        rel, alias = self.catalog.relation(child.rel), child.alias or child.rel
+        bound = {e.name for e, _ in links if isinstance(e, Col) and e.qual in ("", alias)}
+        return any(p.unique and set(p.key) <= bound for p in rel.paths)
+
+    def correlated(self, f: Frame, x: Field) -> Frame:
+        """The nested plan over the distinct values of the outer columns that it names, which go with its rows."""
+        held = {o: (f.resolve(Col(*o))[0], self.fresh("o")) for o in sorted(outers(x.plan))}
+        keys = f.df.select(*[f.resolve(Col(*o))[1].alias(c) for o, (_, c) in held.items()]).distinct()
+        self.around = (keys, held) if held else None
+        inner = self.lower(x.plan)
+        return self.first_rows(inner, 1) if x.one and not is_one(x.plan) else inner
+
     def within(self, f: Frame, child: Node, links: list[tuple[Expr, Outer]]) -> Node | Within:
         """The nested plan over what the outer rows reach of the relation that it reads."""
         chain = [child]
@@ -300,9 +386,8 @@ class Lowering:
                     col = Col(alias, key[len(eq)]) if len(eq) < len(key) else None
                     ranges = [Cmp((">=" if b[1] else ">") if lo else ("<=" if b[1] else "<"), col, b[0]) for lo, b in ((True, n.lo), (False, n.hi)) if b]
                     out = replace(n, eq=(), lo=None, hi=None)
-                for p in (*rest, *ranges):
-                    if any(isinstance(x, Outer) for x in walk(p)):
-                        raise QueryError("an outer reference must equal a key column")
+                if any(isinstance(x, Outer) for p in (*rest, *ranges) for x in walk(p)):
+                    raise RowByRow
                 return self._limit_last(out, [*rest, *ranges]), links
             case Filter(i, p):
                 inner, links = self.unlink(i)
@@ -312,7 +397,7 @@ class Lowering:
             case Project() | Map() | Limit() | Lookup():
                 inner, links = self.unlink(n.input)
                 return replace(n, input=inner), links
-        raise QueryError("a nested plan must read by key")
+        raise RowByRow
 
     @staticmethod
     def _limit_last(n: Scan, preds: list[Expr]) -> Node:

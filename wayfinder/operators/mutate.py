@@ -1,146 +1,188 @@
 """Inserts, updates and deletes as change sets over an immutable snapshot.
 
-A change set has the old and the new image of every row that changes; the table after it is the rows
-whose key does not change, and the new images. Constraints are checked set-wise on that table before a new
-version is published.
+A change set is the image of every row that changes: the new one, or the old one of a delete. Images are computed
+once, into files of their own; the constraints are checked on them and on the rows that share a key with
+them, and the files that hold rows with their keys are written anew without those. What is not touched is neither
+read nor grouped, but for a scan of key columns where a unique key is new.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateKey, QueryError
 from ..functions.expr import Compiler
-from ..functions.values import coerce
-from ..plans.nodes import Delete, Insert, Update
+from ..plans.nodes import Delete, Insert, Node, Update
 from ..sources.catalog import SPARK_TYPES, Catalog, Relation
-from .lower import Frame, Lowering, internal
+from ..sources.store import DataFile
+from .lower import Frame, Lowering, internal, sort_columns
+
+#: So many changed keys at most go into predicates, by which the scan skips row groups; more only meet it in a join.
+KEYS_IN_PREDICATE = 200
+POSITION = "__pos"
+
+
 
 
 @dataclass
-class ChangeSet:
+class Images:
+    """The rows of a change, in files that no snapshot lists yet."""
+
     rel: Relation
-    images: DataFrame  # the rows to return: new images, or old ones of a delete; with __kept for skipped rows left out
-    after: DataFrame
-    duplicates: DataFrame | None = None  # keys that the change may not touch twice
-
-    def check(self) -> None:
-        if self.duplicates is not None and self.duplicates.limit(1).count():
-            raise DuplicateKey(f"duplicate key in {self.rel.name}")
-        bad = [F.max(F.col(f"`{c.name}`").isNull().cast("int")).alias(c.name) for c in self.rel.columns if not c.nullable]
-        if bad:
-            row = self.images.agg(*bad).first()
-            for c in row.asDict():
-                if row[c]:
-                    raise QueryError(f"{self.rel.name}.{c} must not be NULL")
+    files: list[DataFile]
+    df: DataFrame
+    n: int
+
+    def hint(self, columns: tuple[str, ...]) -> Column:
+        """A condition that all rows with a key of the images meet: few keys as values, for the scan's statistics."""
+        if not 0 < self.n <= KEYS_IN_PREDICATE or self.rel.column(columns[0]).type in ("float", "bytes"):
+            return F.lit(True)
+        values = [r[0] for r in self.df.select(f"`{columns[0]}`").distinct().collect()]
+        return F.col(f"`{columns[0]}`").isin(*[F.lit(v) for v in values if v is not None])
+
+    def keys(self, columns: tuple[str, ...]) -> DataFrame:
+        return self.df.select(*[f"`{c}`" for c in columns]).na.drop()
+
+    def check(self, before: DataFrame, fresh: bool, changed: set[str]) -> None:
+        """NOT NULL, and uniqueness against each other and against the rows before; fresh: no row of before is replaced."""
+        must = [F.max(F.col(f"`{c.name}`").isNull()).alias(c.name) for c in self.rel.columns if not c.nullable]
+        bad = self.df.agg(*must).first().asDict() if must else {}
+        for c in bad:
+            if bad[c]:
+                raise QueryError(f"{self.rel.name}.{c} must not be NULL")
         for p in self.rel.paths:
-            if p.unique:
-                keys = [F.col(f"`{c}`") for c in p.key]
-                full = self.after
-                for k in keys:
-                    full = full.where(k.isNotNull())
-                if full.groupBy(*keys).count().where("count > 1").limit(1).count():
-                    raise DuplicateKey(f"duplicate key in {self.rel.name}.{p.name}")
-
-    def count(self) -> int:
-        return self.images.count()
+            if not p.unique or not changed & set(p.key):
+                continue
+            keys = self.keys(p.key)
+            if keys.count() > 1 and keys.groupBy(*keys.columns).count().where("count > 1").limit(1).count():
+                raise DuplicateKey(f"duplicate key in {self.rel.name}.{p.name}")
+            others = before.where(self.hint(p.key)).join(keys, keys.columns, "left_semi")
+            if not fresh:
+                pk = list(self.rel.primary.key)
+                others = others.select(*pk).join(self.df.select(*pk), pk, "left_anti")
+            if (fresh or p is not self.rel.primary) and others.limit(1).count():
+                raise DuplicateKey(f"duplicate key in {self.rel.name}.{p.name}")
 
 
 class Mutation:
+    """One change against the last snapshot of the tables; run() publishes it."""
+
     def __init__(self, catalog: Catalog, tables, params: tuple):
         self.catalog, self.tables, self.params = catalog, tables, params
 
-    def prepare(self, n: Insert | Update | Delete) -> ChangeSet:
+    def run(self, n: Insert | Update | Delete) -> Images:
         rel = self.catalog.relation(n.rel)
-        return self.insert(n, rel) if isinstance(n, Insert) else self.touch(n, rel)
-
-    def keys(self, rel: Relation) -> list[str]:
-        return list(rel.primary.key)
-
-    def touch(self, n: Update | Delete, rel: Relation) -> ChangeSet:
+        version, files = self.tables.snapshot(rel.name)
+        before = self.tables.read(rel.name, files)
+        rows = self.inserted(n, rel, before) if isinstance(n, Insert) else self.touched(n, rel)
+        made = self.tables.write(rel.name, rows)
+        df = self.tables.read(rel.name, made, f", {POSITION} bigint")
+        images = Images(rel, made, df, df.count())
+        fresh = isinstance(n, Insert) and n.conflict != "update"
+        changed = set(rel.names) if isinstance(n, Insert) else {c for c, _ in n.set} if isinstance(n, Update) else set()
+        if not isinstance(n, Delete):
+            images.check(before, fresh, changed)
+        if images.n:
+            self.tables.publish(version, rel.name, self.after(images, files, fresh, isinstance(n, Delete)))
+        return images
+
+    def after(self, images: Images, files: list[DataFile], fresh: bool, delete: bool) -> list[DataFile]:
+        """The table's files once the images stand in it."""
+        name, pk = images.rel.name, list(images.rel.primary.key)
+        keys = images.keys(images.rel.primary.key)
+        hit = [] if fresh else self.tables.holding(name, files, keys, images.hint(images.rel.primary.key))
+        old = list(dict.fromkeys([*hit, *self.tables.small(files)]))
+        rest: list[DataFile] = []
+        if old:
+            rows = self.tables.read(name, old)
+            rest = self.tables.write(name, rows.join(keys, pk, "left_anti").select(*images.rel.names) if hit else rows, old)
+        gone = set(old)
+        return [f for f in files if f not in gone] + rest + ([] if delete else images.files)
+
+    def typed(self, rel: Relation, values: dict[str, Column]) -> list[Column]:
+        return [values[c.name].cast(SPARK_TYPES[c.type]).alias(c.name) for c in rel.columns]
+
+    def touched(self, n: Update | Delete, rel: Relation) -> DataFrame:
         f = Lowering(self.catalog, self.tables, self.params).lower(n.input)
         alias = n.alias or n.rel
         # a row that the read side reaches twice changes once, as its first match has it
         pk = [F.col(f"`{internal(alias, c)}`") for c in rel.primary.key]
         if len(f.key) > len(pk):
-            order = [F.col(f"`{c}`").desc() if d else F.col(f"`{c}`") for c, d in f.order]
-            f.df = f.df.withColumn("__nth", F.row_number().over(Window.partitionBy(*pk).orderBy(*order))).where("__nth = 1")
-        old = {c: F.col(f"`{internal(alias, c)}`") for c in rel.names}
-        new = dict(old)
+            f.df = f.df.withColumn("__nth", F.row_number().over(Window.partitionBy(*pk).orderBy(*sort_columns(f.order)))).where("__nth = 1")
+        new = {c: F.col(f"`{internal(alias, c)}`") for c in rel.names}
         if isinstance(n, Update):
             comp = Compiler(f.resolve, self.params)
             for c, e in n.set:
                 if c in rel.primary.key:
                     raise QueryError("primary key columns cannot be changed")
                 new[c] = comp.as_type(e, rel.column(c).type)
-        images = f.df.select(*[v.cast(SPARK_TYPES[rel.column(c).type]).alias(c) for c, v in new.items()])
-        images = self.tables.fix(images)
-        base = self.tables.frame(rel.name)
-        rest = base.join(images.select(*self.keys(rel)), self.keys(rel), "left_anti").select(*rel.names)
-        return ChangeSet(rel, images, rest if isinstance(n, Delete) else rest.unionByName(images))
+        # only RETURNING shows an order
+        if n.returning and f.order:
+            f.df = f.df.orderBy(*sort_columns(f.order))
+        return f.df.select(*self.typed(rel, new), F.monotonically_increasing_id().alias(POSITION))
 
     def proposed(self, n: Insert, rel: Relation) -> DataFrame:
-        spark = self.tables.spark
+        """The rows to insert, with their place."""
         cols = list(n.cols) or rel.names
         if n.input is not None:
-            low = Lowering(self.catalog, self.tables, self.params)
-            df = low.run(n.input)
-            if len(df.columns) != len(cols):
-                raise QueryError("the input does not match the columns")
-            df = df.toDF(*cols).withColumn("__pos", F.monotonically_increasing_id())
-            return df.select("__pos", *[(F.col(f"`{c.name}`") if c.name in cols else F.lit(None)).cast(SPARK_TYPES[c.type]).alias(c.name) for c in rel.columns])
+            return self._from_plan(n.input, cols, rel)
         comp = Compiler(lambda e: (_ for _ in ()).throw(QueryError("VALUES takes no columns")), self.params)
         rows = []
         for pos, row in enumerate(n.rows):
             if len(row) != len(cols):
                 raise QueryError("VALUES do not match the columns")
             given = dict(zip(cols, row))
-            rows.append([F.lit(pos).cast("bigint").alias("__pos"), *[(comp.as_type(given[c.name], c.type) if c.name in given else F.lit(None)).cast(SPARK_TYPES[c.type]).alias(c.name) for c in rel.columns]])
-        one = spark.range(1)
-        return one.select(F.inline(F.array(*[F.struct(*r) for r in rows])))
-
-    def insert(self, n: Insert, rel: Relation) -> ChangeSet:
-        pk = self.keys(rel)
-        new = self.tables.fix(self.proposed(n, rel))
-        base = self.tables.frame(rel.name).select(*rel.names)
-        first = F.row_number().over(Window.partitionBy(*pk).orderBy("__pos"))
+            values = {c.name: comp.as_type(given[c.name], c.type) if c.name in given else F.lit(None) for c in rel.columns}
+            rows.append(F.struct(F.lit(pos).cast("bigint").alias(POSITION), *self.typed(rel, values)))
+        return self.tables.spark.range(1).select(F.inline(F.array(*rows)))
+
+    def _from_plan(self, plan: Node, cols: list[str], rel: Relation) -> DataFrame:
+        df = Lowering(self.catalog, self.tables, self.params).run(plan)
+        if len(df.columns) != len(cols):
+            raise QueryError("the input does not match the columns")
+        df = df.toDF(*cols)
+        values = {c.name: F.col(f"`{c.name}`") if c.name in cols else F.lit(None) for c in rel.columns}
+        # written once, so that its rows and their places are the same wherever they are read
+        made = self.tables.write(rel.name, df.select(F.monotonically_increasing_id().alias(POSITION), *self.typed(rel, values)))
+        return self.tables.read(rel.name, made, f", {POSITION} bigint").select(POSITION, *rel.names)
+
+    def inserted(self, n: Insert, rel: Relation, before: DataFrame) -> DataFrame:
+        pk = list(rel.primary.key)
+        new = self.proposed(n, rel)
+        if not n.conflict:
+            return new
+        # what the new rows meet; the side that grows with the table is read for it only
+        met = before.join(new.select(*pk), pk, "left_semi")
         if n.conflict == "nothing":
-            images = new.withColumn("__nth", first).where("__nth = 1").select(*rel.names).join(base.select(*pk), pk, "left_anti").select(*rel.names)
-            images = self.tables.fix(images)
-            return ChangeSet(rel, images, base.unionByName(images))
-        twice = new.groupBy(*pk).count().where("count > 1").select(*pk)
-        if n.conflict != "update":
-            images = new.select(*rel.names)
-            clash = images.join(base.select(*pk), pk, "left_semi").select(*pk)
-            return ChangeSet(rel, images, base.unionByName(images), twice.unionByName(clash))
+            first = F.row_number().over(Window.partitionBy(*pk).orderBy(POSITION))
+            return new.withColumn("__nth", first).where("__nth = 1").drop("__nth").join(met.select(*pk), pk, "left_anti").select(POSITION, *rel.names)
         alias = n.alias or n.rel
-        left = new.select(*[F.col(f"`{c}`").alias(internal("excluded", c)) for c in rel.names])
-        right = base.select(*[F.col(f"`{c}`").alias(internal(alias, c)) for c in rel.names])
-        cond: Column | None = None
-        for c in pk:
-            one = F.col(f"`{internal('excluded', c)}`") == F.col(f"`{internal(alias, c)}`")
-            cond = one if cond is None else cond & one
-        both = left.join(right, cond, "left")
+        left = new.select(POSITION, *[F.col(f"`{c}`").alias(internal("excluded", c)) for c in rel.names])
+        right = met.select(*[F.col(f"`{c}`").alias(internal(alias, c)) for c in rel.names])
+        on = reduce(and_, [F.col(f"`{internal('excluded', c)}`") == F.col(f"`{internal(alias, c)}`") for c in pk])
+        both = left.join(right, on, "left")
         types = {(a, c.name): c.type for a in (alias, "excluded") for c in rel.columns}
         comp = Compiler(Frame(both, types, [], []).resolve, self.params)
         found = F.col(f"`{internal(alias, pk[0])}`").isNotNull()
         assigned = {c: comp.as_type(e, rel.column(c).type) for c, e in n.set}
-        images = self.tables.fix(both.select(*[F.when(found, assigned.get(c, F.col(f"`{internal(alias, c)}`"))).otherwise(F.col(f"`{internal('excluded', c)}`")).cast(SPARK_TYPES[rel.column(c).type]).alias(c) for c in rel.names]))
-        rest = base.join(images.select(*pk), pk, "left_anti").select(*rel.names)
-        return ChangeSet(rel, images, rest.unionByName(images), twice)
+        kept = {c: assigned.get(c, F.col(f"`{internal(alias, c)}`")) for c in rel.names}
+        values = {c: F.when(found, kept[c]).otherwise(F.col(f"`{internal('excluded', c)}`")) for c in rel.names}
+        return both.select(POSITION, *self.typed(rel, values))
 
 
-def returned(catalog: Catalog, n: Insert | Update | Delete, change: ChangeSet, params: tuple) -> DataFrame | None:
+def returned(catalog: Catalog, n: Insert | Update | Delete, images: Images, params: tuple) -> DataFrame | None:
+    """The rows of RETURNING, in the order in which they were changed."""
     if not n.returning:
         return None
     alias = n.alias or n.rel
-    df = change.images.select(*[F.col(f"`{c}`").alias(internal(alias, c)) for c in change.rel.names])
-    f = Frame(df, {(alias, c.name): c.type for c in change.rel.columns}, [], [])
-    comp = Compiler(f.resolve, params)
+    df = images.df.orderBy(POSITION).select(*[F.col(f"`{c}`").alias(internal(alias, c)) for c in images.rel.names])
+    comp = Compiler(Frame(df, {(alias, c.name): c.type for c in images.rel.columns}, [], []).resolve, params)
     return df.select(*[comp.column(e).alias(name) for name, e in n.returning])
 
 
-__all__ = ["ChangeSet", "Mutation", "coerce", "returned"]
+__all__ = ["Images", "Mutation", "returned"]

@@ -136,7 +136,7 @@ def build(spec: dict) -> Catalog:
     catalog = Catalog(out)
     for s in spec.get("relationships") or []:
         source, target = catalog.relation(s.get("from", "")), catalog.relation(s.get("to", ""))
-        path, cols = target.path(s.get("path") or "primary"), tuple(s.get("columns") or ())
+        path, cols = target.path(s.get("path") or "primary"), tuple(s.get("from_cols") or s.get("columns") or ())
         if s.get("kind") not in KINDS:
             raise QueryError(f"relationship {s.get('name')}: unknown kind {s.get('kind')}")
         if any(source.column(c) is None for c in cols):
