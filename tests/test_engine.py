@@ -425,7 +425,7 @@ def test_random_changes_equal_a_plain_model(spark, tmp_path, kind):
     catalog = build({"relations": [relation("t", "id int, u string null, n int", "id", ("by_u", "u", True))]})
     s = Session(spark, catalog, MemoryStore(spark, catalog) if kind is MemoryStore else SnapshotStore(spark, catalog, str(tmp_path)))
     model, r = {}, random.Random(5)
-    for step in range(40):
+    for step in range(24):
         i, u = r.randrange(6), r.choice([None, "a", "b", "c"])
         quoted = "NULL" if u is None else f"'{u}'"
         taken = {v[0]: k for k, v in model.items() if v[0] is not None}

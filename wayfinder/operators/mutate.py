@@ -8,11 +8,10 @@ read nor grouped, but for a scan of key columns where a unique key is new.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateKey, QueryError
@@ -29,43 +28,75 @@ POSITION = "__pos"
 
 
 
-@dataclass
+class Keys:
+    """A set of keys that rows are held against: values in a predicate while they are few, else a table to join."""
+
+    def __init__(self, df: DataFrame, columns: tuple[str, ...], few: list[Row] | None):
+        self.columns, self.table = list(columns), df.select(*[f"`{c}`" for c in columns]).na.drop()
+        self.values = None if few is None else list(dict.fromkeys(k for r in few if None not in (k := tuple(r[c] for c in columns))))
+
+    def predicate(self) -> Column:
+        cols = [F.col(f"`{c}`") for c in self.columns]
+        if len(cols) == 1:
+            return cols[0].isin(*[F.lit(k[0]) for k in self.values]) if self.values else F.lit(False)
+        return reduce(or_, [reduce(and_, [c == F.lit(v) for c, v in zip(cols, k)]) for k in self.values], F.lit(False))
+
+    def met_in(self, df: DataFrame) -> DataFrame:
+        """The rows of df that have one of the keys."""
+        return df.join(self.table, self.columns, "left_semi") if self.values is None else df.where(self.predicate())
+
+    def missed_in(self, df: DataFrame) -> DataFrame:
+        """The rows of df that have none of them; no row has a null in these columns."""
+        return df.join(self.table, self.columns, "left_anti") if self.values is None else df.where(~self.predicate())
+
+
+def few_rows(df: DataFrame, rel: Relation, columns: list[str], more: list[Column] | None = None) -> list[Row] | None:
+    """Those columns of all rows where there are at most KEYS_IN_PREDICATE and equality of their values is plain."""
+    if any(rel.column(c).type not in ("int", "string", "bool", "timestamp") for c in columns):
+        return None
+    got = df.select(*[f"`{c}`" for c in columns], *(more or [])).limit(KEYS_IN_PREDICATE + 1).collect()
+    return got if len(got) <= KEYS_IN_PREDICATE else None
+
+
 class Images:
     """The rows of a change, in files that no snapshot lists yet."""
 
-    rel: Relation
-    files: list[DataFile]
-    df: DataFrame
-    n: int
-
-    def hint(self, columns: tuple[str, ...]) -> Column:
-        """A condition that all rows with a key of the images meet: few keys as values, for the scan's statistics."""
-        if not 0 < self.n <= KEYS_IN_PREDICATE or self.rel.column(columns[0]).type in ("float", "bytes"):
-            return F.lit(True)
-        values = [r[0] for r in self.df.select(f"`{columns[0]}`").distinct().collect()]
-        return F.col(f"`{columns[0]}`").isin(*[F.lit(v) for v in values if v is not None])
-
-    def keys(self, columns: tuple[str, ...]) -> DataFrame:
-        return self.df.select(*[f"`{c}`" for c in columns]).na.drop()
-
-    def check(self, before: DataFrame, fresh: bool, changed: set[str]) -> None:
-        """NOT NULL, and uniqueness against each other and against the rows before; fresh: no row of before is replaced."""
-        must = [F.max(F.col(f"`{c.name}`").isNull()).alias(c.name) for c in self.rel.columns if not c.nullable]
-        bad = self.df.agg(*must).first().asDict() if must else {}
-        for c in bad:
-            if bad[c]:
-                raise QueryError(f"{self.rel.name}.{c} must not be NULL")
+    def __init__(self, rel: Relation, files: list[DataFile], df: DataFrame):
+        self.rel, self.files, self.df = rel, files, df
+        columns = list(dict.fromkeys(c for p in rel.paths if p.unique for c in p.key))
+        self.must = [c.name for c in rel.columns if not c.nullable]
+        self.few = few_rows(df, rel, columns, [F.col(f"`{c}`").isNull().alias(f"null {c}") for c in self.must])
+        self.n = df.count() if self.few is None else len(self.few)
+
+    def keys(self, columns: tuple[str, ...]) -> Keys:
+        return Keys(self.df, columns, self.few)
+
+    def check_rows(self) -> None:
+        """NOT NULL."""
+        rows = self.few
+        if rows is None:
+            rows = self.df.agg(F.lit(0).alias("one"), *[F.max(F.col(f"`{c}`").isNull()).alias(f"null {c}") for c in self.must]).collect()
+        for r in rows:
+            for c in self.must:
+                if r[f"null {c}"]:
+                    raise QueryError(f"{self.rel.name}.{c} must not be NULL")
+
+    def check_keys(self, before: DataFrame, fresh: bool, changed: set[str]) -> None:
+        """Uniqueness, against each other and against the rows before; fresh: no row of before is replaced."""
         for p in self.rel.paths:
             if not p.unique or not changed & set(p.key):
                 continue
             keys = self.keys(p.key)
-            if keys.count() > 1 and keys.groupBy(*keys.columns).count().where("count > 1").limit(1).count():
-                raise DuplicateKey(f"duplicate key in {self.rel.name}.{p.name}")
-            others = before.where(self.hint(p.key)).join(keys, keys.columns, "left_semi")
-            if not fresh:
-                pk = list(self.rel.primary.key)
-                others = others.select(*pk).join(self.df.select(*pk), pk, "left_anti")
-            if (fresh or p is not self.rel.primary) and others.limit(1).count():
+            if self.few is not None:
+                whole = [k for r in self.few if None not in (k := tuple(r[c] for c in p.key))]
+                twice = len(set(whole)) < len(whole)
+            else:
+                twice = bool(keys.table.groupBy(*keys.columns).count().where("count > 1").limit(1).count())
+            # a changed row keeps its primary key, so only its other keys can meet another row's
+            if not twice and (fresh or p is not self.rel.primary):
+                others = keys.met_in(before)
+                twice = not (others if fresh else self.keys(self.rel.primary.key).missed_in(others)).isEmpty()
+            if twice:
                 raise DuplicateKey(f"duplicate key in {self.rel.name}.{p.name}")
 
 
@@ -82,25 +113,25 @@ class Mutation:
         rows = self.inserted(n, rel, before) if isinstance(n, Insert) else self.touched(n, rel)
         made = self.tables.write(rel.name, rows)
         df = self.tables.read(rel.name, made, f", {POSITION} bigint")
-        images = Images(rel, made, df, df.count())
+        images = Images(rel, made, df)
         fresh = isinstance(n, Insert) and n.conflict != "update"
         changed = set(rel.names) if isinstance(n, Insert) else {c for c, _ in n.set} if isinstance(n, Update) else set()
         if not isinstance(n, Delete):
-            images.check(before, fresh, changed)
+            images.check_rows()
+            images.check_keys(before, fresh, changed)
         if images.n:
             self.tables.publish(version, rel.name, self.after(images, files, fresh, isinstance(n, Delete)))
         return images
 
     def after(self, images: Images, files: list[DataFile], fresh: bool, delete: bool) -> list[DataFile]:
         """The table's files once the images stand in it."""
-        name, pk = images.rel.name, list(images.rel.primary.key)
-        keys = images.keys(images.rel.primary.key)
-        hit = [] if fresh else self.tables.holding(name, files, keys, images.hint(images.rel.primary.key))
+        name, keys = images.rel.name, images.keys(images.rel.primary.key)
+        hit = [] if fresh else self.tables.holding(name, files, keys.met_in)
         old = list(dict.fromkeys([*hit, *self.tables.small(files)]))
         rest: list[DataFile] = []
         if old:
             rows = self.tables.read(name, old)
-            rest = self.tables.write(name, rows.join(keys, pk, "left_anti").select(*images.rel.names) if hit else rows, old)
+            rest = self.tables.write(name, keys.missed_in(rows).select(*images.rel.names) if hit else rows, old)
         gone = set(old)
         return [f for f in files if f not in gone] + rest + ([] if delete else images.files)
 
@@ -157,7 +188,7 @@ class Mutation:
         if not n.conflict:
             return new
         # what the new rows meet; the side that grows with the table is read for it only
-        met = before.join(new.select(*pk), pk, "left_semi")
+        met = Keys(new, rel.primary.key, few_rows(new, rel, pk) if n.input is None else None).met_in(before)
         if n.conflict == "nothing":
             first = F.row_number().over(Window.partitionBy(*pk).orderBy(POSITION))
             return new.withColumn("__nth", first).where("__nth = 1").drop("__nth").join(met.select(*pk), pk, "left_anti").select(POSITION, *rel.names)
