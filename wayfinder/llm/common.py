@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-#: Rows per Arrow batch: bounds what a Python worker holds, whatever the text length is on average.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch, where the session sets neither: they bound what a Python worker holds besides one text.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: Texts are put together up to this many bytes for one vectorised pass.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 WORD_SEPARATORS = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
@@ -26,10 +29,11 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small unless the session asks for something else."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small where the session has not said how large they may be; the setting holds for the whole session."""
+    given = spark.conf.getAll
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if (key := f"spark.sql.execution.arrow.{key}") not in given:
+            spark.conf.set(key, str(value))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -37,13 +41,36 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores until no column has it (in any case of letters)."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame, columns: list[str], seed: int) -> Column:
+    """64 bits of the columns' values, of any types; nulls count. Different seeds give independent bits."""
+    parts: list[Column] = []
+    for c in columns:
+        col, kind = F.col(f"`{c}`"), df.schema[c].dataType
+        # within nested values a hash would pass over nulls, and maps have none
+        col = F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false"}) if isinstance(kind, (ArrayType, MapType, StructType, VariantType)) else col
+        parts += [col, col.isNull()]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share: spark.checkpoint.dir; in local mode a temporary one where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark.sparkContext, "_llm_shared_dir", None)
         if at is None:
-            at = spark.sparkContext._llm_shared_dir = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
+            folder = tempfile.mkdtemp(prefix="llm-shared-")
+            atexit.register(shutil.rmtree, folder, True)
+            at = spark.sparkContext._llm_shared_dir = f"file://{folder}"
     return at.rstrip("/")
 
 
@@ -52,7 +79,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what stored() wrote for df, once nothing will read it again."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(sample: DataFrame, order: list[Column | str], max_bytes: int, text_col: str = "text") -> DataFrame:
+    """The first rows of a sample of bounded length, up to max_bytes of text."""
+    upto = F.sum(F.octet_length(text_col)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return sample.withColumn("upto", upto).where(F.col("upto") <= max_bytes).drop("upto")
 
 
 def id_fold(doc_id: Column | str, parts: int) -> Column:
@@ -61,9 +103,9 @@ def id_fold(doc_id: Column | str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The column's texts as UTF-8, nulls as empty."""
-    col = batch.column(batch.schema.get_field_index(name))
+def texts_of(batch: pa.RecordBatch, at: int = -1) -> list[bytes]:
+    """The texts of the column at that place, the last as a rule, as UTF-8; nulls as empty."""
+    col = batch.column(at if at >= 0 else batch.num_columns + at)
     return [x or b"" for x in col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()).to_pylist()]
 
 
@@ -102,10 +144,10 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _kept_powers(base: int, n: int) -> np.ndarray:
-    if n > 2 * SLICE_BYTES:
+    if n > SLICE_BYTES + 1:
         return _powers(base, n)
     if base not in _POWERS:
-        _POWERS[base] = _powers(base, 2 * SLICE_BYTES)
+        _POWERS[base] = _powers(base, SLICE_BYTES + 1)
     return _POWERS[base][:n]
 
 

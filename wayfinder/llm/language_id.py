@@ -7,7 +7,7 @@ penalty (the L1 part keeps them sparse), then a softmax temperature is fitted on
 the weights have not seen.
 
 Document frequencies are counted over all labelled training rows, in one pass of fixed-size partial sums. The
-classifier's fit uses a bounded sample of their different texts (`max_train_rows`); prediction covers every whole text,
+classifier's fit uses a bounded sample of their different texts (`max_train_rows`, `MAX_TRAIN_BYTES`); prediction covers every whole text,
 in slices of `CHUNK` code points, so memory does not depend on a text's length.
 
 Defined results: a null text or one without a letter gets `und` with score 0.0; with nothing to learn
@@ -24,13 +24,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import bounded, map_batches
 
 UNDETERMINED = "und"
 BITS = 15
 DIM = 1 << BITS
 ORDERS = (1, 2, 3)
 CHUNK = 1 << 18
+MAX_TRAIN_BYTES = 128 << 20
 LETTER = regex.compile(r"\p{L}")
 _ASCII = np.full(128, 32, np.uint32)
 _ASCII[97:123] = np.arange(97, 123)
@@ -88,10 +89,11 @@ def labelled(docs: DataFrame, label: Column, text_col: str = "text") -> DataFram
     return docs.select(F.col(text_col).alias("text"), label.cast("string").alias("label")).where("text is not null and label is not null")
 
 
-def training_sample(docs: DataFrame, label: Column, max_rows: int, text_col: str = "text") -> list[tuple[str, str]]:
+def training_sample(docs: DataFrame, label: Column, max_rows: int, text_col: str = "text", max_bytes: int = MAX_TRAIN_BYTES) -> list[tuple[str, str]]:
     """About max_rows different labelled texts, shared out evenly between the labels: those with the smallest hashes.
 
-    Copies count once, so a text that many rows hold takes one place; the limit holds for each label by itself.
+    Copies count once, so a text that many rows hold takes one place; the limit holds for each label by itself. No more
+    than max_bytes of text come, in order of their hashes.
     """
     rows = labelled(docs, label, text_col)
     hashed = F.xxhash64("text", "label")
@@ -104,7 +106,7 @@ def training_sample(docs: DataFrame, label: Column, max_rows: int, text_col: str
     share = F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
     few = rows.withColumn("share", share).where(F.col("share") < rate[F.col("label")]).distinct()
     place = F.row_number().over(Window.partitionBy("label").orderBy("share", "text"))
-    got = few.withColumn("place", place).where(F.col("place") <= 2 * each).orderBy("share", "label", "text")
+    got = bounded(few.withColumn("place", place).where(F.col("place") <= 2 * each), ["share", "label", "text"], max_bytes).orderBy("share", "label", "text")
     return [(r.text, r.label) for r in got.select("text", "label").collect()]
 
 

@@ -10,7 +10,7 @@ piece is projected through the noted positions to its byte span in the source.
 Merges of a segment come from the sentencepiece library where the model's character map is empty (a
 segment's normal form is then itself), and else from `merge`, which does the same in Python.
 
-Memory: a worker keeps up to `CACHE` segments; texts are cut into chunks of about `CHUNK` characters at
+Memory: a worker keeps segments of about `CACHE_BYTES` together, and starts anew when they are full; texts are cut into chunks of about `CHUNK` characters at
 segment borders. Defined results: null and empty texts have no pieces, only the end id where asked for;
 characters without a piece become byte pieces, or the unknown id without byte fallback.
 """
@@ -27,7 +27,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 SPACE = "▁"
-CACHE = 500_000
+CACHE_BYTES = 8 << 20
+#: What an entry takes besides the characters and ids that it holds: two objects and a place in the table.
+ENTRY_BYTES = 200
 CHUNK = 1 << 20
 BPE = 2
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -230,6 +232,7 @@ class PieceCodec:
         raw[self.unknown] = b"\xff"  # never valid: left to the library
         self.outputs = table(raw)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def _pieces(self, segment: str) -> tuple[list[int], list[int]]:
         """Ids and byte lengths in the normal form."""
@@ -262,18 +265,25 @@ class PieceCodec:
             # a word's first piece, and no other, starts with the mark
             cuts = [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)]
             made.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts, cuts[1:]))
-        if len(self.cache) < CACHE:
-            self.cache.update((w, i) for w, i in made.items() if len(w) <= 32)
+        for w, i in made.items():
+            self._keep(w, i)
         return [made[w] if f is None else f for w, f in zip(words, found)]
 
     def _segment(self, segment: str) -> bytes:
         got = self.cache.get("\0" + segment)
         if got is None:
             got = array("i", self.processor.encode(segment[1:]) if self.library and len(segment) > 1 else self._pieces(segment)[0]).tobytes()
-            if len(segment) <= 32 and len(self.cache) < CACHE:
-                self.cache["\0" + segment] = got
+            self._keep("\0" + segment, got)
         return got
 
+    def _keep(self, segment: str, ids: bytes) -> None:
+        if len(segment) > 32:
+            return
+        self.cached += ENTRY_BYTES + len(segment) + len(ids)
+        if self.cached > CACHE_BYTES:
+            self.cache, self.cached = {}, ENTRY_BYTES + len(segment) + len(ids)
+        self.cache[segment] = ids
+
     def _ids(self, text: str) -> np.ndarray:
         """Ids of a normal form."""
         if not self.splits:
@@ -299,7 +309,7 @@ class PieceCodec:
         return np.frombuffer(b"".join(parts), np.int32)
 
     def encode_parts(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the starts and ends of their spans in the source's UTF-8 bytes."""
+        """Ids, and the starts and ends of their spans in the source's UTF-8 bytes (a text has below 2^31 of them)."""
         if self.library and text and SPACE not in text:
             # the map is empty: a mark is one source byte, but the first is none
             ids = self._ids(SPACE + text.replace(" ", SPACE))

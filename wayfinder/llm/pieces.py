@@ -37,22 +37,21 @@ def encode(docs: DataFrame, path: str, id_cols: list[Column], add_end: bool = Tr
     def run(batches):
         c = codec(path)
         for b in batches:
-            ids, begins, ends, digests = [], [], [], []
+            parts, digests = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
-                i, s, e = c.encode_parts(t or "")
-                last = int(e[-1]) if len(e) else 0
-                ids.append([*i.tolist(), c.end] if add_end else i.tolist())
-                begins.append([*s.tolist(), last] if add_end else s.tolist())
-                ends.append([*e.tolist(), last] if add_end else e.tolist())
+                i, s, e = (x.astype(np.int32, copy=False) for x in c.encode_parts(t or ""))
+                if add_end:
+                    last = e[-1:] if len(e) else np.zeros(1, np.int32)
+                    i, s, e = np.append(i, np.int32(c.end)), np.append(s, last), np.append(e, last)
+                parts.append((i, s, e))
                 if decoded:
-                    digests.append(hashlib.sha256(c.decode_bytes(np.append(i, c.end) if add_end else i)).hexdigest())
+                    digests.append(hashlib.sha256(c.decode_bytes(i)).hexdigest())
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for i, _, _ in parts])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int32)]))) for k in range(3)]
             more = [pa.array(digests, pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *more],
-                [*b.schema.names[:-1], "ids", "begins", "ends", *["decoded_sha256"] * decoded],
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists, *more], [*b.schema.names[:-1], "ids", "begins", "ends", *["decoded_sha256"] * decoded])
 
-    fields = f"{_fields(docs, id_cols)}, ids array<int>, begins array<long>, ends array<long>" + ", decoded_sha256 string" * decoded
+    fields = f"{_fields(docs, id_cols)}, ids array<int>, begins array<int>, ends array<int>" + ", decoded_sha256 string" * decoded
     return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, fields)
 
 
