@@ -11,7 +11,8 @@ binary tree: at each node the left half's quotas are a multivariate hypergeometr
 so the sums stay exact. Each shard then takes its quota from the source's permuted draws, disjoint from all
 others, and its rows are ordered by hash. The plan has a row a block drawn, so it stays small against the
 rows (24 bytes for up to `WORDS_A_BLOCK` words), and the rows meet it in a join on (source, block), by
-broadcast only up to `BROADCAST_DRAWS` rows.
+broadcast only up to `BROADCAST_DRAWS` rows. The driver holds the plan and a name, a size and a target of each source.
+Columns of any names and types pass: rows travel as one value beside what the plan needs.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; sources without
 words have target 0 and are not taken; rows that are equal in all key columns go together; an empty table
@@ -29,18 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_hash, stored
 
-#: A source has 2^BLOCK_BITS blocks at least, and more where they would hold over WORDS_A_BLOCK words.
+#: A source has 2^BLOCK_BITS blocks, more where they would hold over WORDS_A_BLOCK words, fewer below LEAST_WORDS each.
 BLOCK_BITS = 8
-WORDS_A_BLOCK = 1 << 24
+WORDS_A_BLOCK, LEAST_WORDS = 1 << 24, 1 << 10
 #: The words of an output shard decide how many there are, LEAST_SHARDS at least.
 WORDS_A_SHARD = 1 << 26
 LEAST_SHARDS = 64
 FINE_BITS = 12
 HASH_BITS = 56
 WEIGHTS = (5, 2, 1)
-MAX_SOURCES = 100_000
+#: A table of so many sources at most goes out by broadcast; a longer one is joined.
+BROADCAST_SOURCES = 100_000
 #: A plan of at most so many draws, of 24 bytes each, goes out by broadcast; a longer one meets the rows in a shuffle.
 BROADCAST_DRAWS = 200_000
 
@@ -104,26 +106,32 @@ class Plan:
         return F.broadcast(draws) if self.draws.num_rows <= BROADCAST_DRAWS else draws
 
 
-def placed(docs: DataFrame, keys: list[str], source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Every row with __source, __size, and its place: __h, of HASH_BITS bits."""
-    h = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit("mix")), 64 - HASH_BITS)
-    return docs.select("*", F.col(source_col).cast("string").alias("__source"), n_words(F.col(text_col)).alias("__size"), h.alias("__h"))
+def placed(docs: DataFrame, keys: list[str], row: Column, source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """`row` of every row with __source, __size, and its place: __h, of HASH_BITS bits."""
+    h = F.shiftrightunsigned(row_hash(docs, keys, 0), 64 - HASH_BITS)
+    return docs.select(row, F.col(source_col).cast("string").alias("__source"), n_words(F.col(text_col)).alias("__size"), h.alias("__h"))
 
 
 def blocked(rows: DataFrame, sources: list[Source]) -> DataFrame:
-    """The placed rows with __k and __block; at most MAX_SOURCES sources go out by broadcast."""
-    known = rows.sparkSession.createDataFrame([(s.name, k, s.bits) for k, s in enumerate(sources)], "__name string, __k int, __bits int")
+    """The placed rows with __k and __block."""
+    # a null name has a mark of its own, as a join on plain equality can be spread where the table of sources is long
+    known = rows.sparkSession.createDataFrame([(s.name or "", s.name is None, k, s.bits) for k, s in enumerate(sources)], "__name string, __none boolean, __k int, __bits int")
     block = F.expr(f"cast(shiftrightunsigned(__h, {HASH_BITS} - __bits) as int)")
-    return rows.join(F.broadcast(known), F.col("__source").eqNullSafe(F.col("__name"))).withColumn("__block", block).drop("__name", "__bits")
+    same = (F.coalesce(F.col("__source"), F.lit("")) == F.col("__name")) & (F.col("__source").isNull() == F.col("__none"))
+    return rows.join(F.broadcast(known) if len(sources) <= BROADCAST_SOURCES else known, same).withColumn("__block", block).drop("__name", "__none", "__bits")
+
+
+def block_bits(size: int) -> int:
+    """How many bits of the hash tell a source's blocks."""
+    enough = (-(-size // WORDS_A_BLOCK) - 1).bit_length() if size else 0
+    return max(enough, min(BLOCK_BITS, (size // LEAST_WORDS).bit_length()))
 
 
 def sources_of(rows: DataFrame) -> list[Source]:
-    got = rows.groupBy("__source").agg(F.sum("__size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(got) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = source_targets([(r["__source"], r.n) for r in got])
-    got.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
-    return [Source(r["__source"], r.n, target[r["__source"]], max(BLOCK_BITS, (-(-r.n // WORDS_A_BLOCK) - 1).bit_length())) for r in got]
+    got = [(r["__source"], r.n) for r in rows.groupBy("__source").agg(F.sum("__size").alias("n")).toLocalIterator()]
+    target = source_targets(got)
+    got.sort(key=lambda s: (s[0] is None, s[0] or ""))
+    return [Source(name, n, target[name], block_bits(n)) for name, n in got]
 
 
 def plan(rows: DataFrame, shards: int | None = None, seed: int = 17) -> Plan:
@@ -132,7 +140,7 @@ def plan(rows: DataFrame, shards: int | None = None, seed: int = 17) -> Plan:
     shards = shards or max(LEAST_SHARDS, -(-int(sum(s.target for s in sources)) // WORDS_A_SHARD))
     words = [np.zeros(1 << s.bits, np.int64) for s in sources]
     numbered = blocked(rows, sources)
-    # at most 2^BLOCK_BITS rows a source and two for every WORDS_A_BLOCK words
+    # at most 2^BLOCK_BITS rows a source, one for every LEAST_WORDS / 2 words, and two for every WORDS_A_BLOCK
     for r in numbered.groupBy("__k", "__block").agg(F.sum("__size").alias("n")).toLocalIterator():
         words[r["__k"]][r["__block"]] = r.n
     whole = 1 << HASH_BITS
@@ -196,24 +204,24 @@ def bounds(rows: DataFrame, part: dict[int, tuple[int, Fraction]], bits: list[in
 def mix(docs: DataFrame, keys: list[str] | None = None, shards: int | None = None, seed: int = 17, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed rows, with their columns, as often as the mix takes them: a partition a shard, shuffled by hash inside."""
     keys = keys or [c for c in docs.columns if c != source_col]
-    rows = placed(docs, keys, source_col, text_col)
+    rows = placed(docs, keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_col, text_col)
     planned = plan(stored(rows.select("__source", "__size", "__h"), "places"), shards, seed)
     r, d = blocked(rows, planned.sources), planned.draws_for(docs.sparkSession)
-    taken = r.join(d, (r["__k"] == d["__k"]) & (r["__block"] == d["__block"]) & (r["__h"] < d["__bound"])).select(*[r[f"`{c}`"] for c in docs.columns], r["__h"], d["__shard"])
-    return taken.repartitionById(planned.shards, F.col("__shard")).sortWithinPartitions(F.xxhash64("__h", "__shard")).select(*[f"`{c}`" for c in docs.columns])
+    taken = r.join(d, (r["__k"] == d["__k"]) & (r["__block"] == d["__block"]) & (r["__h"] < d["__bound"])).select("row", "__h", "__shard")
+    return taken.repartitionById(planned.shards, F.col("__shard")).sortWithinPartitions(F.xxhash64("__h", "__shard")).select("row.*")
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keys: list[str] | None = None, shards: int | None = None, seed: int = 17) -> DataFrame:
     """What the mix takes of each row: doc_id, size, source_size, target, taken."""
     spark = docs.sparkSession
     keys = keys or [c for c in docs.columns if c != source_col]
-    rows = stored(placed(docs, keys, source_col, text_col).select(F.col(id_col).alias("doc_id"), "__source", "__size", "__h"), "places")
+    rows = stored(placed(docs, keys, F.col(id_col).alias("doc_id"), source_col, text_col), "places")
     planned = plan(rows, shards, seed)
-    # a row a source, MAX_SOURCES at most
     totals = spark.createDataFrame([(k, s.size, float(s.target)) for k, s in enumerate(planned.sources)], "__k int, source_size long, target double")
     # what is drawn of a block: whole passes, and rows below a bound
     bounds_of = planned.draws_for(spark).groupBy("__k", "__block").agg(F.collect_list("__bound").alias("bounds"))
     small = planned.draws.num_rows <= BROADCAST_DRAWS
-    r = blocked(rows, planned.sources).join(F.broadcast(totals), "__k").join(F.broadcast(bounds_of) if small else bounds_of, ["__k", "__block"], "left")
+    few = len(planned.sources) <= BROADCAST_SOURCES
+    r = blocked(rows, planned.sources).join(F.broadcast(totals) if few else totals, "__k").join(F.broadcast(bounds_of) if small else bounds_of, ["__k", "__block"], "left")
     times = F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(F.size(F.filter("bounds", lambda b: b > F.col("__h"))))
     return r.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * times).cast("long").alias("taken"))
