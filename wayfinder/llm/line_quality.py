@@ -2,9 +2,10 @@
 
 Each line has a vector of features; Viterbi decoding marks it as content or boilerplate (junk, repeats,
 shouting, tables); the share of words in content lines decides whether the text is kept. The field is
-trained here, by gradient steps (Adam) on the exact log-likelihood (forward-backward), on the lines of a
-bounded sample of labelled documents: lines of documents of quality 1 as content, of quality 0 as
-boilerplate, unless they read like ordinary lines.
+trained here, by gradient steps (Adam) on the exact log-likelihood (forward-backward), on the whole line
+sequences of a bounded sample of labelled documents (`max_train_rows` of them, `MAX_TRAIN_LINES` lines each,
+`MAX_TRAIN_BYTES` together): lines of documents of quality 1 as content, of quality 0 as boilerplate, unless they
+read like ordinary lines. Any line may come first; the chain has no weights for its start.
 
 Base figures (words, symbols, repeated lines and windows) are exact over the whole text; equal words and
 windows are told by 64-bit hashes within one text.
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sums, map_batches, mix, span_hashes, texts_of, word_spans
+from .common import bounded, hash_sums, map_batches, mix, span_hashes, texts_of, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words in repeated windows
 BASE_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 N_FEATURES = 14
+MAX_TRAIN_LINES, MAX_TRAIN_BYTES = 512, 64 << 20
+#: Lines, padding included, of one batch in training.
+BATCH_LINES = 1 << 16
 
 _LETTER, _UPPER, _DIGIT, _SYMBOL, _START, _STOP = (np.zeros(256, bool) for _ in range(6))
 _UPPER[65:91] = True
@@ -116,7 +120,7 @@ def analyse(data: bytes, with_features: bool = True) -> tuple[tuple[int, ...], L
 
 @dataclass
 class LineField:
-    """Weights of the chain's two labels (0 boilerplate, 1 content): emissions for label 1 against 0, transitions, start."""
+    """Weights of the chain's two labels (0 boilerplate, 1 content): emissions for label 1 against 0, and transitions."""
 
     emit: np.ndarray
     move: np.ndarray  # 2 x 2
@@ -180,28 +184,34 @@ def log_likelihood(emit: np.ndarray, move: np.ndarray, x: np.ndarray, y: np.ndar
     return value, g_emit, seen - pair.sum(axis=(0, 1))
 
 
-def fit(sample: list[tuple[bytes, int]], steps: int = 60, rate: float = 0.15, ridge: float = 1e-3, most_lines: int = 48) -> LineField:
-    """sample: texts and quality labels in a fixed order. Longer sequences are cut into runs of `most_lines` for training."""
-    runs = []
-    labels = {int(q == 1) for _, q in sample}
-    field = LineField(np.zeros(N_FEATURES), np.zeros((2, 2)), ready=len(labels) == 2)
-    if not field.ready:
-        return field
-    for data, q in sample:
-        lines = analyse(data)[1].features
-        for at in range(0, len(lines), most_lines):
-            runs.append((lines[at : at + most_lines], int(q == 1)))
-    runs.sort(key=lambda r: len(r[0]))
-    # runs of like length share a padded batch
+def padded_batches(runs: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole sequences, those of like length together: features, labels and mask."""
+    runs = sorted(runs, key=lambda r: len(r[0]))
     batches, at = [], 0
     while at < len(runs):
-        part = [r for r in runs[at : at + 4096]]
-        t = max(len(r[0]) for r in part)
+        to = at + 1
+        while to < len(runs) and (to + 1 - at) * len(runs[to][0]) <= BATCH_LINES:
+            to += 1
+        part, t = runs[at:to], len(runs[to - 1][0])
         x, y, mask = np.zeros((len(part), t, N_FEATURES)), np.zeros((len(part), t), int), np.zeros((len(part), t), bool)
         for i, (f, q) in enumerate(part):
             x[i, : len(f)], y[i, : len(f)], mask[i, : len(f)] = f, q, True
         batches.append((x, y, mask))
-        at += 4096
+        at = to
+    return batches
+
+
+def fit(sample: list[tuple[bytes, int]], steps: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> LineField:
+    """sample: texts and quality labels in a fixed order; texts of over MAX_TRAIN_LINES lines take no part."""
+    runs = []
+    for data, q in sample:
+        lines = analyse(data)[1].features
+        if 0 < len(lines) <= MAX_TRAIN_LINES:
+            runs.append((lines, int(q == 1)))
+    field = LineField(np.zeros(N_FEATURES), np.zeros((2, 2)), ready=len({q for _, q in runs}) == 2)
+    if not field.ready:
+        return field
+    batches = padded_batches(runs)
     w = np.zeros(N_FEATURES + 4)
     m, v = np.zeros_like(w), np.zeros_like(w)
     scale = sum(b[2].sum() for b in batches)
@@ -228,6 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 2000, id_col
     # bounded by max_train_rows
     chosen = F.broadcast(parts[0].unionAll(parts[1]))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "id").orderBy(order, "text").limit(2 * max_train_rows)
+    rows = bounded(rows, [order, "text"], MAX_TRAIN_BYTES).orderBy(order, "text")
     return fit([(r.text.encode(), r.label) for r in rows.select("text", "label").collect()])
 
 
@@ -241,7 +252,7 @@ def figures(docs: DataFrame, field: LineField, id_cols: list[Column], text_col:
     def run(batches):
         model = shared.value
         for b in batches:
-            got = list(zip(*map(model.judge, texts_of(b, "__text")))) or [()] * len(names)
+            got = list(zip(*map(model.judge, texts_of(b)))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(g, t) for g, t in zip(got, types))], [*b.schema.names[:-1], *names])
 
     return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, f"{fields}, {', '.join(f'{n} long' for n in BASE_FIELDS)}, base_failed boolean, content_share double, kept boolean")
@@ -249,11 +260,11 @@ def figures(docs: DataFrame, field: LineField, id_cols: list[Column], text_col:
 
 def keep_good(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
     """The rows that the rules keep, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
 
     def run(batches):
         model = shared.value
         for b in batches:
-            yield b.filter(pa.array([model.judge(t)[-1] for t in texts_of(b, text_col)], pa.bool_()))
+            yield b.filter(pa.array([model.judge(t)[-1] for t in texts_of(b, at)], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
