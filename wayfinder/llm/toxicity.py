@@ -9,7 +9,9 @@ few in a long text must not drown in it); a logistic curve fitted on cross-valid
 rows turns these into 0..1.
 
 The counts come from a bounded sample of labelled rows (`max_train_rows`, toxic rows first up to a
-half); scoring covers every whole text in slices, with two tables of fixed size (2^TABLE_BITS).
+half, `MAX_TRAIN_BYTES` of text together); scoring covers every whole text in slices, with two tables that hold
+their keys, so an n-gram that was never seen finds nothing. Characters beyond the 4094 most frequent ones of the
+sample share one symbol.
 
 Defined results: null and empty texts have log-likelihood ratio 0 and get the score of that. With only
 one class to learn from, every score is 0.0. Repeated rows get equal scores; only named columns are read.
@@ -24,21 +26,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, log_sigmoid_fit, map_batches, mix
+from .common import IS_SPACE, bounded, log_sigmoid_fit, map_batches, mix
 
 ORDER = 5
 SYMBOL_BITS = 12
-TABLE_BITS = 22
+OTHER = (1 << SYMBOL_BITS) - 1
+MAX_TRAIN_BYTES = 64 << 20
 FOLDS = 3
 CHUNK = 1 << 18
 DISCOUNT = 0.75
-_TOP = np.uint64((1 << SYMBOL_BITS * ORDER) - 1)
+_EMPTY = np.uint64((1 << 64) - 1)  # no n-gram has this code
 
 
-def symbols(text: str) -> np.ndarray:
-    """Lower-cased code points; those from 4096 on share the upper half of the symbols."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return np.where(cp < 4096, cp, 2048 + cp % 2048)
+def points(text: str) -> np.ndarray:
+    """Lower-cased code points."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def alphabet(texts: list[str]) -> np.ndarray:
+    """The symbol of every code point: numbers from 1 by falling frequency, OTHER for the rest; white space is always known."""
+    n = np.zeros(0x110000, np.int64)
+    for t in texts:
+        n += np.bincount(points(t), minlength=len(n)) if len(t) > 100_000 else 0
+        if len(t) <= 100_000:
+            np.add.at(n, points(t), 1)
+    n[32] += 1
+    known = np.flatnonzero(n)
+    known = known[np.argsort(-n[known], kind="stable")][: OTHER - 1]
+    out = np.full(len(n), OTHER, np.uint16)
+    out[known] = np.arange(1, len(known) + 1)
+    return out
 
 
 def grams(sym: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -52,12 +69,40 @@ def grams(sym: np.ndarray, order: int = ORDER) -> np.ndarray:
     return code
 
 
-def padded(text: str) -> np.ndarray:
-    return symbols(" " * (ORDER - 1) + text + " ")
-
-
-def _slot(code: np.ndarray) -> np.ndarray:
-    return mix(code) >> np.uint64(64 - TABLE_BITS)
+def padded(text: str, symbols: np.ndarray) -> np.ndarray:
+    return symbols[points(" " * (ORDER - 1) + text + " ")].astype(np.uint64)
+
+
+class CodeTable:
+    """Values by code, in open addressing: a code is found where it hashes to or in the next places."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(codes)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.codes, self.values = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float32)
+        left, at = np.arange(len(codes)), self._home(codes)
+        while len(left):
+            owner = np.full(1 << bits, -1)
+            free = self.codes[at[left]] == _EMPTY
+            owner[at[left][free]] = left[free]
+            got = owner[owner >= 0]
+            self.codes[at[got]], self.values[at[got]] = codes[got], values[got]
+            left = left[owner[at[left]] != left]
+            at[left] = (at[left] + 1) & self.last
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        return (mix(codes) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full(len(codes), missing, np.float32)
+        left, at = np.arange(len(codes)), self._home(codes)
+        while len(left):
+            there = self.codes[at]
+            hit = there == codes[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (there != _EMPTY)
+            left, at = left[on], (at[on] + 1) & self.last
+        return out
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
@@ -86,8 +131,9 @@ def shared_backoff(all_grams: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    seen: np.ndarray  # log ratio of each n-gram that either class has; NaN: none
-    unseen: np.ndarray  # by context: log ratio of the weights that the classes give to the shared backoff
+    symbols: np.ndarray
+    seen: CodeTable  # log ratio of each n-gram that either class has
+    unseen: CodeTable  # by context: log ratio of the weights that the classes give to the shared backoff
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -95,9 +141,9 @@ class ToxicityModel:
 
     def ratios(self, sym: np.ndarray) -> np.ndarray:
         code = grams(sym)
-        out = self.seen[_slot(code)]
+        out = self.seen.find(code, np.nan)
         gaps = np.flatnonzero(np.isnan(out))
-        out[gaps] = self.unseen[_slot(code[gaps] >> np.uint64(SYMBOL_BITS))]
+        out[gaps] = self.unseen.find(code[gaps] >> np.uint64(SYMBOL_BITS), 0.0)
         return out
 
     def features(self, text: str | None) -> tuple[float, float, float]:
@@ -107,11 +153,11 @@ class ToxicityModel:
         total, count, carry, best = 0.0, 0, 0.0, np.zeros(2)
         for at in range(0, len(text), CHUNK):
             last = at + CHUNK >= len(text)
-            sym = symbols((" " * (ORDER - 1) + text[max(0, at - ORDER + 1) : at])[-(ORDER - 1) :] + text[at : at + CHUNK] + " " * last)
-            r = self.ratios(sym).astype(np.float64)
+            cp = points((" " * (ORDER - 1) + text[max(0, at - ORDER + 1) : at])[-(ORDER - 1) :] + text[at : at + CHUNK] + " " * last)
+            r = self.ratios(self.symbols[cp].astype(np.uint64)).astype(np.float64)
             total, count = total + r.sum(), count + len(r)
             # an expression ends with the white space after it
-            space = IS_SPACE[np.minimum(sym[ORDER - 1 :], 255).astype(np.int64)]
+            space = IS_SPACE[np.minimum(cp[ORDER - 1 :], 255)]
             sums = np.add.reduceat(r, np.concatenate([[0], np.flatnonzero(space[:-1]) + 1]))
             sums[0] += carry
             if not space[-1]:
@@ -128,9 +174,9 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -35, 35))))
 
 
-def count_tables(toxic: list[str], ordinary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def count_tables(toxic: list[str], ordinary: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All distinct 5-grams, sorted, and their counts in the two classes."""
-    parts = [np.unique(np.concatenate([grams(padded(t)) for t in texts] or [np.zeros(0, np.uint64)]), return_counts=True) for texts in (toxic, ordinary)]
+    parts = [np.unique(np.concatenate([grams(padded(t, symbols)) for t in texts] or [np.zeros(0, np.uint64)]), return_counts=True) for texts in (toxic, ordinary)]
     keys = np.union1d(parts[0][0], parts[1][0])
     return keys, _lookup(*parts[0], keys), _lookup(*parts[1], keys)
 
@@ -149,21 +195,20 @@ def class_ratios(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> t
     return logs[0] - logs[1], ctx, backs[0] - backs[1]
 
 
-def tables(rows: list[tuple[str, int]], chosen: np.ndarray) -> ToxicityModel:
+def tables(rows: list[tuple[str, int]], chosen: np.ndarray, symbols: np.ndarray) -> ToxicityModel:
     """A model of the chosen rows' counts, without its curve."""
-    keys, toxic, ordinary = count_tables([rows[i][0] for i in chosen if rows[i][1] == 1], [rows[i][0] for i in chosen if rows[i][1] != 1])
+    keys, toxic, ordinary = count_tables([rows[i][0] for i in chosen if rows[i][1] == 1], [rows[i][0] for i in chosen if rows[i][1] != 1], symbols)
     ratio, ctx, back = class_ratios(keys, toxic, ordinary)
-    seen, unseen = np.full(1 << TABLE_BITS, np.nan, np.float32), np.zeros(1 << TABLE_BITS, np.float32)
-    seen[_slot(keys)] = ratio
-    unseen[_slot(ctx)] = back
-    return ToxicityModel(seen, unseen, np.zeros(3), np.ones(3), np.zeros(4))
+    return ToxicityModel(symbols, CodeTable(keys, ratio), CodeTable(ctx, back), np.zeros(3), np.ones(3), np.zeros(4))
 
 
 def fit(rows: list[tuple[str, int]], natural: float | None = None) -> ToxicityModel:
     """rows: texts and labels in a fixed order; natural: the share of label 1 that the scores are to reflect."""
     y = np.array([int(label == 1) for _, label in rows], int)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(0, np.float32), np.zeros(0, np.float32), np.zeros(3), np.ones(3), np.zeros(4), False)
+        nothing = CodeTable(np.zeros(0, np.uint64), np.zeros(0))
+        return ToxicityModel(np.zeros(0, np.uint16), nothing, nothing, np.zeros(3), np.ones(3), np.zeros(4), False)
+    symbols = alphabet([t for t, _ in rows])
     fold = np.zeros(len(y), int)
     for label in (0, 1):
         mine = np.flatnonzero(y == label)
@@ -171,10 +216,10 @@ def fit(rows: list[tuple[str, int]], natural: float | None = None) -> ToxicityMo
     x = np.zeros((len(y), 3))
     for k in range(FOLDS):
         # a row's features for the curve come from counts without its fold
-        part = tables(rows, np.flatnonzero(fold != k))
+        part = tables(rows, np.flatnonzero(fold != k), symbols)
         for i in np.flatnonzero(fold == k):
             x[i] = part.features(rows[i][0])
-    model = tables(rows, np.arange(len(y)))
+    model = tables(rows, np.arange(len(y)), symbols)
     share = y.mean()
     natural = share if natural is None else natural
     model.mean, model.scale, model.weights = log_sigmoid_fit(x, y, np.where(y == 1, natural / share, (1 - natural) / (1 - share)))
@@ -197,6 +242,7 @@ def train(texts: DataFrame, labels: DataFrame, where: Column, max_train_rows: in
         part = known.where(F.col("label") == label).orderBy(order, "id").limit(quota[label])
         chosen = part if chosen is None else chosen.unionAll(part)
     rows = texts.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").orderBy(order, "text").limit(2 * max_train_rows)
+    rows = bounded(rows, [order, "text"], MAX_TRAIN_BYTES).orderBy(order, "text")
     return fit([(r.text, r.label) for r in rows.select("text", "label").collect()], natural=n[1] / (n[0] + n[1]))
 
 
