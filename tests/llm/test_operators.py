@@ -118,7 +118,8 @@ def test_toxicity(spark, docs, monkeypatch):
 
 
 def test_shared_backoff_is_a_distribution():
-    keys = np.unique(np.concatenate([toxicity.grams(toxicity.padded(t)) for t in TEXTS[:20]]))
+    symbols = toxicity.alphabet(TEXTS[:20])
+    keys = np.unique(np.concatenate([toxicity.grams(toxicity.padded(t, symbols)) for t in TEXTS[:20]]))
     toxic, ordinary = np.ones(len(keys), int), np.zeros(len(keys), int)
     ratio, ctx, back = toxicity.class_ratios(keys, toxic, ordinary)
     shared = toxicity.shared_backoff(keys)
@@ -361,9 +362,10 @@ def test_pipeline_decodes_what_it_encodes(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256(processor.decode(r.ids).encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_lm(spark, docs):
+@pytest.mark.parametrize("fan", [256, 3])
+def test_lm(spark, docs, fan):
     held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
-    got = ngram_lm.score(docs, held, block_bytes=200, shard_bytes=700, least_blocks=3).collect()
+    got = ngram_lm.score(docs, held, block_bytes=200, least_blocks=3, fan=fan).collect()
     texts = [(i, t) for i, t in enumerate(ALL)] + [(None, "no id at all")] * 2
     toks = {(i, t): [w.encode().lower() for w in words_of(t)] + [None] for i, t in texts}
     train = [toks[x] for x in texts if x[0] is None or x[0] % 5]

@@ -6,14 +6,15 @@ maximisation on held-out counts: every training token is held out in turn (its o
 from the counts it is judged by).
 
 How counts reach the texts without a table of the whole vocabulary anywhere: documents are dealt into
-blocks by hash (about `block_bytes` of text each). A block's distinct n-grams, with their training
-counts, go to shards by n-gram hash (each holds the n-grams of about `shard_bytes` of text), one compressed
-row a block and shard; a shard adds up and answers each block in the block's own order; the answers meet
-their block again. So a frequent word costs one entry a block, and both shuffles carry sorted 64-bit hashes
-and small counts. N-grams are told by 64-bit hashes. Sums of counts cover all training documents; the
-weights come from a histogram of fixed size over all training tokens (ratios of estimates in fine
-logarithmic steps). A task holds one block (measured: some 15 bytes a byte of its text) or one shard (some 85
-bytes a distinct n-gram of each block); there are bytes^2 / (block_bytes * shard_bytes) rows.
+blocks by hash (about `block_bytes` of text each). A block's distinct n-grams, with their training counts, are
+cut into slices of the hash space, one compressed row a block and slice. `fan` blocks' rows of a slice meet in a task,
+which adds them up; with more blocks than that, the sums stand for a block of the next level, cut into `fan` finer
+slices, and so on until one task has all that there is of a slice. The totals then go down the same way: each task
+answers its rows in their own order. So a level has blocks * `fan` rows, there are log(blocks) / log(`fan`) levels
+(one up to some 1 GB of text, two up to 256 GB, four at 100 TB), and a frequent word costs one entry a block.
+N-grams are told by 64-bit hashes. Sums of counts cover all training documents; the weights come from a
+histogram of fixed size over all training tokens (ratios of estimates in fine logarithmic steps). A task holds one
+block (some 15 bytes a byte of its text), or as many n-grams as a block has (some 85 bytes each).
 
 Defined results: null and empty texts are the end token alone; repeated rows count and are scored each;
 with nothing to learn from, counts are zero and every token has the uniform probability.
@@ -36,10 +37,15 @@ BUCKETS = 24
 STEP, HALF = 4, 48
 
 
+_SQUEEZE: list[zstandard.ZstdCompressor] = []
+
+
 def pack(a: np.ndarray) -> bytes:
     """Integers by byte planes, compressed; sorted or small ones become short."""
+    if not _SQUEEZE:
+        _SQUEEZE.append(zstandard.ZstdCompressor(level=1))
     wide = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(wide.view(np.uint8).reshape(-1, wide.itemsize).T.tobytes())
+    return _SQUEEZE[0].compress(wide.view(np.uint8).reshape(-1, wide.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
@@ -82,7 +88,7 @@ def _ordered(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
     """The block's documents in an order that does not depend on how they arrived, their texts and which ones train."""
     texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
     ids, held = table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()
-    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, 0 if ids[i] is None else ids[i], texts[i]))
     return table.take(pa.array(order, pa.int64())), [texts[i] for i in order], ~np.array([held[i] for i in order], bool)
 
 
@@ -94,64 +100,108 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray
     return counts, h, (one, at_one), (two, at_two)
 
 
-def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range of the hash space begins in sorted keys."""
-    edges = [(i << 64) // shards for i in range(1, shards)]
+def _cuts(keys: np.ndarray, at: int, of: int, parts: int) -> np.ndarray:
+    """Where each of the parts begins in the sorted keys, of the slice `at` of the `of` slices of the hash space."""
+    edges = [((at * parts + i) << 64) // (of * parts) for i in range(1, parts)]
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
 
 
-REQUEST = "block int, shard int, ones binary, one_counts binary, twos binary, two_counts binary"
-ANSWER = "block int, shard int, one_counts binary, two_counts binary, distinct long, total long"
+REQUEST = "node long, slice long, ones binary, one_counts binary, twos binary, two_counts binary"
+ANSWER = "node long, slice long, one_counts binary, two_counts binary, distinct long, total long"
 SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, before binary, ones binary, twos binary"
+ORDERS = (("ones", "one_counts"), ("twos", "two_counts"))
+
+
+def _sliced(node: int, grams: list[tuple[np.ndarray, np.ndarray]], at: int, of: int, parts: int) -> pa.Table:
+    """Requests of a node: its sorted keys and counts (of unigrams and of bigrams), a row a slice."""
+    out: dict[str, pa.Array] = {"node": pa.array([node] * parts, pa.int64()), "slice": pa.array(range(at * parts, (at + 1) * parts), pa.int64())}
+    for (key_name, count_name), (keys, counts) in zip(ORDERS, grams):
+        cut = _cuts(keys, at, of, parts).tolist()
+        out[key_name] = pa.array([pack(keys[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())
+        out[count_name] = pa.array([pack(counts[a:b].astype(np.int64)) for a, b in zip(cut, cut[1:])], pa.binary())
+    return pa.table(out)
 
 
-def _request(shards: int):
+def _request(parts: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, texts, train = _ordered(table)
         counts, _, (one, at_one), (two, at_two) = _grams(texts)
         learn = np.repeat(train, counts)
-        n_one = np.bincount(at_one[learn], minlength=len(one)).astype(np.uint32)
-        n_two = np.bincount(at_two[learn], minlength=len(two)).astype(np.uint32)
-        a, b = _cuts(one, shards), _cuts(two, shards)
-        rows = [(pack(one[a[i] : a[i + 1]]), pack(n_one[a[i] : a[i + 1]]), pack(two[b[i] : b[i + 1]]), pack(n_two[b[i] : b[i + 1]])) for i in range(shards)]
-        cols = list(zip(*rows))
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * shards, pa.int32()), "shard": pa.array(range(shards), pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("ones", "one_counts", "twos", "two_counts"), cols)}})
+        grams = [(k, np.bincount(at[learn], minlength=len(k))) for k, at in ((one, at_one), (two, at_two))]
+        return _sliced(table.column("block")[0].as_py(), grams, 0, 1, parts)
 
     return run
 
 
-def _sum_up(asked: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int, int]:
-    """The totals in the order of each request; how many keys have one, and their sum."""
-    keys = [unpack(x, np.uint64) for x in asked]
-    n = np.concatenate([unpack(x, np.uint32) for x in counts]).astype(np.int64)
+def _unpacked(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [unpack(x, kind) for x in table.column(name).to_pylist()]
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct keys, sorted, and the sums of their counts."""
     whole = np.concatenate(keys)
     order = np.argsort(whole, kind="stable")
     ranked = whole[order]
     starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(n[order], starts) if len(ranked) else np.zeros(0, np.int64)
-    out = np.empty(len(whole), np.int64)
-    out[order] = np.repeat(sums, np.diff(np.append(starts, len(whole))))
-    ends = np.cumsum([len(k) for k in keys])
-    return [pack(out[e - len(k) : e]) for k, e in zip(keys, ends)], int((sums > 0).sum()), int(sums.sum())
+    return ranked[starts], np.add.reduceat(np.concatenate(counts)[order], starts) if len(ranked) else np.zeros(0, np.int64)
+
+
+def _merge(of: int, parts: int):
+    """Many nodes' requests for a slice as those of the node above them, for its parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grams = [_added(_unpacked(table, k, np.uint64), _unpacked(table, n, np.int64)) for k, n in ORDERS]
+        return _sliced(table.column("parent")[0].as_py(), grams, table.column("slice")[0].as_py(), of, parts)
+
+    return run
+
+
+def _replies(table: pa.Table, totals: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, pa.Array]:
+    """For each request the totals, in the order of its keys."""
+    out: dict[str, pa.Array] = {"node": table.column("node").cast(pa.int64()), "slice": table.column("slice").cast(pa.int64())}
+    for (key_name, count_name), (keys, sums) in zip(ORDERS, totals):
+        out[count_name] = pa.array([pack(sums[np.searchsorted(keys, k)]) for k in _unpacked(table, key_name, np.uint64)], pa.binary())
+    return out
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    blocks = table.column("block").to_pylist()
-    one, distinct, total = _sum_up(table.column("ones").to_pylist(), table.column("one_counts").to_pylist())
-    two, _, _ = _sum_up(table.column("twos").to_pylist(), table.column("two_counts").to_pylist())
-    first = [True] + [False] * (len(blocks) - 1)
-    return pa.table({
-        "block": pa.array(blocks, pa.int32()), "shard": table.column("shard").cast(pa.int32()), "one_counts": pa.array(one, pa.binary()), "two_counts": pa.array(two, pa.binary()),
-        "distinct": pa.array([distinct * f for f in first], pa.int64()), "total": pa.array([total * f for f in first], pa.int64()),
-    })
+    """Where all nodes' requests for a slice have met: the totals, and once how many unigrams there are and their sum."""
+    totals = [_added(_unpacked(table, k, np.uint64), _unpacked(table, n, np.int64)) for k, n in ORDERS]
+    ones, n = totals[0][1], table.num_rows
+    return pa.table(_replies(table, totals) | {"distinct": pa.array([int((ones > 0).sum())] + [0] * (n - 1), pa.int64()), "total": pa.array([int(ones.sum())] + [0] * (n - 1), pa.int64())})
+
+
+def _descend(table: pa.Table, above: pa.Table) -> pa.Table:
+    """The answers to the node above, passed on to the requests that it stood for."""
+    order = np.argsort(above.column("fine").to_numpy())
+    totals = []
+    for key_name, count_name in ORDERS:
+        keys = np.unique(np.concatenate(_unpacked(table, key_name, np.uint64)))
+        totals.append((keys, np.concatenate([unpack(above.column(count_name)[int(i)].as_py(), np.int64) for i in order])))
+        if len(keys) != len(totals[-1][1]):
+            raise RuntimeError("the counts do not match their requests")
+    zero = pa.array([0] * table.num_rows, pa.int64())
+    return pa.table(_replies(table, totals) | {"distinct": zero, "total": zero})
+
+
+def _resolved(requests: DataFrame, nodes: int, slices: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """Answers to the requests of so many nodes, and those of the last level, which carry the totals."""
+    if nodes <= fan:
+        top = stored(requests.groupBy("slice").applyInArrow(_answer, ANSWER), "counts")
+        return top, top
+    asked = stored(requests.withColumn("parent", F.floor(F.col("node") / fan)), "requests")
+    merged = asked.groupBy("parent", "slice").applyInArrow(_merge(slices, fan), REQUEST)
+    answers, top = _resolved(merged, -(-nodes // fan), slices * fan, fan)
+    above = answers.select(F.col("node").alias("parent"), F.floor(F.col("slice") / fan).alias("slice"), F.col("slice").alias("fine"), "one_counts", "two_counts")
+    down = asked.groupBy("parent", "slice").cogroup(above.groupBy("parent", "slice")).applyInArrow(_descend, ANSWER)
+    return stored(down, "counts"), top
 
 
 def _meet(total: int, distinct: int, delta: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         kept, texts, _ = _ordered(docs)
         counts, h, (one, at_one), (two, at_two) = _grams(texts)
-        order = np.argsort(answers.column("shard").to_numpy())
+        order = np.argsort(answers.column("slice").to_numpy())
         c1, c2 = (np.concatenate([unpack(answers.column(n)[int(i)].as_py(), np.int64) for i in order] or [np.zeros(0, np.int64)]) for n in ("one_counts", "two_counts"))
         if len(c1) != len(one) or len(c2) != len(two):
             raise RuntimeError("the counts do not match their block")
@@ -235,19 +285,19 @@ def learn_weights(cells: list[tuple[int, int]], rounds: int = 40) -> np.ndarray:
     return weights
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", delta: float = 0.1, block_bytes: int = 8 << 20, shard_bytes: int = 32 << 20, least_blocks: int = 24) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", delta: float = 0.1, block_bytes: int = 4 << 20, least_blocks: int = 24, fan: int = 256) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row; rows with held_out train nothing."""
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    blocks, shards = (max(least_blocks, -(-size // most)) for most in (block_bytes, shard_bytes))
+    blocks = max(least_blocks, -(-size // block_bytes))
+    parts = min(blocks, fan)
     id_type = d.schema["doc_id"].dataType.simpleString()
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    requests = d.groupBy("block").applyInArrow(_request(shards), REQUEST)
-    answers = stored(requests.groupBy("shard").applyInArrow(_answer, ANSWER), "counts")
-    sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
-    met = d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_meet(sums.n, sums.v, delta), SCORED.format(id=id_type))
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+    answers, top = _resolved(d.groupBy("block").applyInArrow(_request(parts), REQUEST), blocks, parts, fan)
+    sums = top.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
+    met = d.groupBy("block").cogroup(answers.groupBy("node")).applyInArrow(_meet(sums.n, sums.v, delta), SCORED.format(id=id_type))
     scored = stored(met, "scored")
     weights = learn_weights(_histogram(scored, sums.n, sums.v))
     n, v = sums.n, sums.v
