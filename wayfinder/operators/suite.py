@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import QueryError
 from ..functions.expr import And, Arith, Cmp, Col, Lit, Outer
 from ..plans import nodes
 from ..plans.graphql import GraphQL
@@ -29,6 +30,7 @@ SQL: dict[str, tuple[str, tuple, bool, str | None]] = {
     "get_composite": ("SELECT value, event_type FROM events WHERE user_id = 7 AND ts = '1999-01-01 00:00:00'", (), False, "SELECT value, event_type FROM events WHERE user_id = 7 AND ts = TIMESTAMP '1999-01-01 00:00:00'"),
     "get_many": ("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (9, 3, 5, 100000000)", (), False, None),
     "scan_full": ("SELECT n_nationkey, n_name FROM nation", (), True, None),
+    "scan_full_large": ("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders", (), True, None),
     "scan_prefix": ("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 11", (), False, None),
     "scan_range_lo": ("SELECT o_orderkey FROM orders WHERE o_custkey = 11 AND o_orderdate >= '1996-01-01'", (), False, "SELECT o_orderkey FROM orders WHERE o_custkey = 11 AND o_orderdate >= TIMESTAMP '1996-01-01'"),
     "scan_range_hi": ("SELECT o_orderkey FROM orders WHERE o_custkey = 11 AND o_orderdate < '1996-01-01'", (), False, "SELECT o_orderkey FROM orders WHERE o_custkey = 11 AND o_orderdate < TIMESTAMP '1996-01-01'"),
@@ -120,28 +122,79 @@ CHANGES: dict[str, tuple[str, str]] = {
 }
 
 
+# name: (statements, oracle of orders afterwards): changes of a few rows of a large table
+LARGE_CHANGES: dict[str, tuple[str, str]] = {
+    "update_large": (
+        "UPDATE orders SET o_totalprice = o_totalprice * 2, o_orderstatus = 'X' WHERE o_custkey = 11",
+        "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey = 11 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_custkey = 11 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders",
+    ),
+    "delete_large": (
+        "DELETE FROM orders WHERE o_orderdate >= '1997-06-01' AND o_orderdate < '1997-07-01'",
+        "SELECT * FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1997-06-01' AND o_orderdate < TIMESTAMP '1997-07-01')",
+    ),
+    "upsert_large": (
+        "INSERT INTO orders VALUES (5, 1, 'Z', 1.5, '2001-01-01', 'none'), (-5, 1, 'Z', 2.5, '2001-01-02', 'none') ON CONFLICT (o_orderkey) DO UPDATE SET o_orderstatus = excluded.o_orderstatus",
+        """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = 5 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
+        UNION ALL SELECT CAST(-5 AS BIGINT), CAST(1 AS BIGINT), 'Z', 2.5, TIMESTAMP '2001-01-02', 'none' UNION ALL SELECT CAST(5 AS BIGINT), CAST(1 AS BIGINT), 'Z', 1.5, TIMESTAMP '2001-01-01', 'none' WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 5)""",
+    ),
+    "change_after_change": (
+        "UPDATE orders SET o_custkey = 12 WHERE o_custkey = 11; INSERT INTO orders VALUES (-6, 11, 'N', 1, '2001-01-01', 'none'); UPDATE orders SET o_totalprice = 0 WHERE o_custkey = 11; DELETE FROM orders WHERE o_custkey = 12",
+        "SELECT * FROM orders WHERE o_custkey NOT IN (11, 12) UNION ALL SELECT CAST(-6 AS BIGINT), CAST(11 AS BIGINT), 'N', 0.0, TIMESTAMP '2001-01-01', 'none'",
+    ),
+}
+
+# name: a statement that must fail and leave nation as it is
+FAILED_CHANGES: dict[str, str] = {
+    "insert_all_or_nothing": "INSERT INTO nation VALUES (100, 'X', 1), (101, 'Y', 1), (3, 'Z', 1)",
+    "insert_duplicate_unique": "INSERT INTO nation VALUES (100, 'NATION_3', 1)",
+    "insert_not_null": "INSERT INTO nation (n_nationkey, n_name) VALUES (100, 'X')",
+    "update_duplicate_unique": "UPDATE nation SET n_name = 'NATION_3' WHERE n_nationkey = 4",
+    "update_primary_key": "UPDATE nation SET n_nationkey = 100 WHERE n_nationkey = 4",
+    "upsert_twice": "INSERT INTO nation VALUES (3, 'X', 1), (3, 'Y', 1) ON CONFLICT (n_nationkey) DO UPDATE SET n_regionkey = 7",
+}
+
+
 def writer(spark: SparkSession, sf_dir: str) -> Session:
-    """A session that can change: the table nation in memory, the others read from their files."""
+    """A session that can change its own copy of the tables; one is copied when it first changes."""
     catalog = warehouse_catalog()
     files = ParquetTables(spark, sf_dir)
-    frames = {n: files.frame(n) for n in ("region", "customer")} | {"nation": files.frame("nation").select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))}
+    frames = {n: files.frame(n) for n in ("region", "customer", "orders")} | {"nation": files.frame("nation").select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))}
     return Session(spark, catalog, MemoryStore(spark, catalog, frames))
 
 
-def change_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def change_query(text: str, table: str = "nation") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = writer(spark, sf_dir)
         if text.startswith("mutation"):
             out = s.graphql(text)
             if "errors" in out:
                 raise RuntimeError(out["errors"])
+            return s.tables.frame(table)
+        got = s.script(text)[-1]
+        return got.df if "RETURNING" in text else s.tables.frame(table)
+
+    return run
+
+
+def failed_change(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = writer(spark, sf_dir)
+        try:
+            s.script(text)
+        except QueryError:
             return s.tables.frame("nation")
-        got = s.execute(s.compile(text))
-        return got.df if "RETURNING" in text else s.tables.frame("nation")
+        raise RuntimeError(f"accepted: {text}")
 
     return run
 
 
+def rows_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each of some statements changed; changes to the same value count, skipped rows do not."""
+    s = writer(spark, sf_dir)
+    done = s.script("UPDATE nation SET n_regionkey = n_regionkey WHERE n_regionkey = 1; INSERT INTO nation VALUES (3, 'X', 1), (100, 'Y', 1) ON CONFLICT DO NOTHING; DELETE FROM nation WHERE n_nationkey = 999")
+    return spark.createDataFrame([(i, r.rows_affected) for i, r in enumerate(done)], "statement long, n long")
+
+
 def lookup_limit_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = reader(spark, sf_dir)
     plan = nodes.Project(
@@ -173,8 +226,44 @@ def map_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run(plan).df
 
 
+def get_many_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by whole (user_id, ts) keys, among them one that puts one event's user with another's time."""
+    s = reader(spark, sf_dir)
+    keys = [(r.user_id, r.ts) for r in s.sql("SELECT event_id, user_id, ts FROM events WHERE event_id IN (1, 2, 3) LIMIT 3").collect()]
+    listed = tuple((Lit(u), Lit(t)) for u, t in [*keys, (keys[0][0], keys[1][1])])
+    return s.run(nodes.Project(nodes.GetMany("events", "e", "by_user", listed), (("event_id", Col("e", "event_id")), ("value", Col("e", "value"))))).df
+
+
+CUSTOMERS = nodes.Scan("customer", "c", "by_nation", (Lit(3),))
+ORDERS_OF = nodes.Scan("orders", "o", "by_cust", (Outer("c", "c_custkey"),))
+ORDER_KEY = (("o_orderkey", Col("o", "o_orderkey")),)
+
+
+def nested(inner: nodes.Node, one: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    plan = nodes.Project(nodes.Map(CUSTOMERS, (nodes.Field("x", inner, one),)), (("c_custkey", Col("c", "c_custkey")), ("x", Col("", "x"))))
+    return lambda spark, sf_dir: reader(spark, sf_dir).run(plan).df
+
+
+map_outer_filter = nested(nodes.Project(nodes.Filter(ORDERS_OF, Cmp(">", Col("o", "o_totalprice"), Arith("*", Outer("c", "c_acctbal"), Lit(20)))), ORDER_KEY))
+map_limit_filter = nested(nodes.Project(nodes.Filter(nodes.Limit(ORDERS_OF, 2), Cmp(">", Col("o", "o_totalprice"), Lit(100000))), ORDER_KEY))
+map_outer_bound = nested(nodes.Project(nodes.Limit(nodes.Scan("customer", "d", "by_nation", (Outer("c", "c_nationkey"),), (Outer("c", "c_acctbal"), False)), 2), (("c_custkey", Col("d", "c_custkey")),)))
+map_first = nested(nodes.Project(ORDERS_OF, ORDER_KEY), True)
+
+_LIST_OF_ORDERS = "SELECT c_custkey, coalesce((SELECT list({{'o_orderkey': o_orderkey}} ORDER BY o_orderdate, o_orderkey) FROM {} WHERE o_custkey = c_custkey AND {}), []) AS x FROM customer WHERE c_nationkey = 3"
+_RANKED_ORDERS = "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)"
+
 PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "lookup_limit_per_row": (lookup_limit_per_row, "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3) x WHERE k <= 2"),
+    "rows_affected": (rows_affected, "SELECT CAST(statement AS BIGINT) AS statement, CAST(n AS BIGINT) AS n FROM (SELECT 0 AS statement, count(*) AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 1, 1 UNION ALL SELECT 2, 0) x"),
+    "get_many_composite": (get_many_composite, "SELECT event_id, value FROM events WHERE event_id IN (1, 2, 3)"),
+    "map_outer_filter": (map_outer_filter, _LIST_OF_ORDERS.format("orders", "o_totalprice > c_acctbal * 20")),
+    "map_limit_filter": (map_limit_filter, _LIST_OF_ORDERS.format(_RANKED_ORDERS, "k <= 2 AND o_totalprice > 100000")),
+    "map_outer_bound": (map_outer_bound, """
+        SELECT c.c_custkey, coalesce(list({'c_custkey': d.c_custkey} ORDER BY d.c_acctbal, d.c_custkey) FILTER (WHERE d.k IS NOT NULL), []) AS x FROM customer c LEFT JOIN (
+            SELECT a.c_custkey AS outer_key, b.c_custkey, b.c_acctbal, row_number() OVER (PARTITION BY a.c_custkey ORDER BY b.c_acctbal, b.c_custkey) AS k
+            FROM customer a JOIN customer b ON b.c_nationkey = a.c_nationkey AND b.c_acctbal > a.c_acctbal WHERE a.c_nationkey = 3) d ON d.outer_key = c.c_custkey AND d.k <= 2
+        WHERE c.c_nationkey = 3 GROUP BY c.c_custkey"""),
+    "map_first": (map_first, f"SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN NULL ELSE {{'o_orderkey': o_orderkey}} END AS x FROM customer LEFT JOIN {_RANKED_ORDERS} ON o_custkey = c_custkey AND k = 1 WHERE c_nationkey = 3"),
     "insert_from_plan": (insert_from_plan, _AS_INT.format(_NATION + " UNION ALL SELECT r_regionkey + 500, r_name, r_regionkey FROM region")),
     "update_from_lookup": (update_from_lookup, _AS_INT.format("SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 1 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation")),
     "map_one": (map_one, "SELECT event_id, CASE WHEN c_custkey IS NULL THEN NULL ELSE {'c_name': c_name} END AS who FROM events LEFT JOIN customer ON c_custkey = user_id AND c_acctbal > 0 WHERE event_type = 'click'"),
@@ -193,11 +282,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {n: sql_query(t, p, full) for n, (t, p, full, _) in SQL.items()}
     out |= {n: (lambda spark, sf_dir, t=t: GraphQL(reader(spark, sf_dir)).frame(t)) for n, (t, _) in GRAPHQL.items()}
     out |= {n: change_query(t) for n, (t, _) in CHANGES.items()}
+    out |= {n: change_query(t, "orders") for n, (t, _) in LARGE_CHANGES.items()}
+    out |= {n: failed_change(t) for n, t in FAILED_CHANGES.items()}
     return out | {n: f for n, (f, _) in PLANS.items()} | {"explain_flagship": explain_query}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: o or t for n, (t, _, _, o) in SQL.items()}
-    out |= {n: o for d in (GRAPHQL, CHANGES, PLANS) for n, (_, o) in d.items()}
+    out |= {n: o for d in (GRAPHQL, CHANGES, LARGE_CHANGES, PLANS) for n, (_, o) in d.items()}
+    out |= {n: _AS_INT.format(_NATION) for n in FAILED_CHANGES}
     lines = ["Project [c.c_name, o.o_orderkey, o.o_totalprice]", "  Lookup orders o via by_cust key=[c.c_custkey] many reverse limit=5 cols=[o_orderkey, o_totalprice]", "    Get customer c via primary key=[7] cols=[c_custkey, c_name]"]
     return out | {"explain_flagship": "SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in lines) + ") AS t(plan)"}
