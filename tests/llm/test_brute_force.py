@@ -1,0 +1,210 @@
+"""The learned operators against plain versions that share no code with them."""
+
+import math
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from wayfinder.llm import language_id, mixing, ngram_lm, toxicity
+
+LANG_TEXTS = [("der hund lief über die straße", "de"), ("die katze schläft", "de"), ("the dog ran home", "en"), ("a cat sleeps here, now", "en"), ("le chien court", "fr"), ("la chatte dort là", "fr")]
+
+
+def plain_grams(text):
+    """Character 1- to 3-grams of the lower-cased text, ASCII that is no letter as a space, a space at either end."""
+    t = "".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in f" {text.lower()} ")
+    return [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+
+
+def place_of(gram):
+    """Where the operator's hash puts one n-gram, computed with Python's integers."""
+    h = 0
+    for i, c in enumerate(gram):
+        h = (h + (ord(c) + i + 1) * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[i]) % 2**32
+    return ((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 32 - 15
+
+
+def test_tf_idf_is_that_of_the_plain_n_grams():
+    counts = [Counter(map(place_of, plain_grams(t))) for t, _ in LANG_TEXTS]
+    for (text, _), want in zip(LANG_TEXTS, counts):
+        got = language_id.term_counts(text)
+        assert {i: int(got[i]) for i in np.flatnonzero(got)} == want
+    seen = Counter(i for c in counts for i in c)
+    total = len(counts)
+    df = np.zeros(language_id.DIM, np.int64)
+    for i, n in seen.items():
+        df[i] = n
+    model = language_id.fit(LANG_TEXTS, total, df, epochs=1)
+    c = counts[0]
+    weight = {i: (1 + math.log(n)) * (math.log((1 + total) / (1 + seen[i])) + 1) for i, n in c.items()}
+    norm = math.sqrt(sum(w * w for w in weight.values()))
+    idx, val = model.features(*language_id.sparse(language_id.term_counts(LANG_TEXTS[0][0])))
+    assert dict(zip(idx.tolist(), val)) == pytest.approx({i: w / norm for i, w in weight.items()}, rel=1e-5)
+
+
+def test_weights_are_those_of_plain_follow_the_regularised_leader():
+    rows = LANG_TEXTS[:4]  # below the number from which some are held out for the temperature
+    df = np.zeros(language_id.DIM, np.int64)
+    for t, _ in rows:
+        df[list(set(map(place_of, plain_grams(t))))] += 1
+    alpha, beta, l1, l2, epochs, seed = 0.5, 1.0, 0.02, 0.001, 3, 7
+    model = language_id.fit(rows, len(rows), df, epochs, alpha, beta, l1, l2, seed)
+    langs = ["de", "en"]
+    z, n = defaultdict(float), defaultdict(float)  # by (coordinate, language); None is the constant
+
+    def weight(i, k):
+        penalty = 0.0 if i is None else l1
+        if abs(z[i, k]) <= penalty:
+            return 0.0
+        return -(z[i, k] - math.copysign(penalty, z[i, k])) / ((beta + math.sqrt(n[i, k])) / alpha + l2)
+
+    vectors = []
+    for t, _ in rows:
+        c = Counter(map(place_of, plain_grams(t)))
+        raw = {i: (1 + math.log(m)) * (math.log((1 + len(rows)) / (1 + int(df[i]))) + 1) for i, m in c.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        vectors.append({i: x / norm for i, x in raw.items()} | {None: 1.0})
+    for _ in range(epochs):
+        for r in np.random.default_rng(seed).permutation(len(rows)):
+            x, y = vectors[r], rows[r][1]
+            w = {(i, k): weight(i, k) for i in x for k in langs}
+            s = {k: sum(v * w[i, k] for i, v in x.items()) for k in langs}
+            e = {k: math.exp(s[k] - max(s.values())) for k in langs}
+            for i, v in x.items():
+                for k in langs:
+                    g = v * (e[k] / sum(e.values()) - (k == y))
+                    sigma = (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / alpha
+                    z[i, k] += g - sigma * w[i, k]
+                    n[i, k] += g * g
+    assert model.langs == langs and model.temperature == 1.0
+    for k, lang in enumerate(langs):
+        assert model.bias[k] == pytest.approx(weight(None, lang), rel=1e-4, abs=1e-7)
+        want = {i: weight(i, lang) for i in {i for v in vectors for i in v if i is not None}}
+        assert {i: model.weights[i, k] for i in want} == pytest.approx(want, rel=1e-3, abs=1e-5)
+        assert np.count_nonzero(model.weights[:, k]) == sum(w != 0 for w in want.values())
+    text = "the cat"
+    c = Counter(map(place_of, plain_grams(text)))
+    raw = {i: (1 + math.log(m)) * (math.log((1 + len(rows)) / (1 + int(df[i]))) + 1) for i, m in c.items()}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    s = [sum(v / norm * weight(i, k) for i, v in raw.items()) + weight(None, k) for k in langs]
+    p = [math.exp(x) / sum(map(math.exp, s)) for x in s]
+    lang, score = model.predict(text)
+    assert lang == langs[int(np.argmax(p))] and score == pytest.approx(max(p), rel=1e-4)
+
+
+TOXIC, ORDINARY = ["you vile wretch", "vile, vile fool", "fool of a wretch"], ["a fine day it was", "we went to town", "the town was fine", "日本語の文"]
+
+
+def plain_kneser_ney():
+    """(5-gram counts by class, and a function: log P(class gram) by plain recursion over dictionaries)."""
+    pad = lambda t: " " * 4 + t.lower() + " "
+    grams = {c: Counter(pad(t)[i : i + 5] for t in texts for i in range(len(pad(t)) - 4)) for c, texts in (("t", TOXIC), ("o", ORDINARY))}
+    every = set(grams["t"]) | set(grams["o"])
+    d = 0.75
+
+    def shared(gram):
+        """Of the last symbol of a (up to four symbols long) gram after the others."""
+        if not gram:
+            return 1 / 4096
+        longer = {g[-len(gram) - 1 :] for g in every}
+        ends = Counter(g[1:] for g in longer)
+        context = {e: n for e, n in ends.items() if e[:-1] == gram[:-1]}
+        total = sum(context.values())
+        return max(ends[gram] - d, 0) / total + d * len(context) / total * shared(gram[1:])
+
+    def log_p(c, gram):
+        mine = {g: n for g, n in grams[c].items() if g[:4] == gram[:4]}
+        total = sum(mine.values())
+        back = d * len(mine) / total if total else 1.0
+        return math.log((max(mine.get(gram, 0) - d, 0) / total if total else 0) + back * shared(gram[1:]))
+
+    return grams, every, log_p
+
+
+def test_toxic_ratios_are_those_of_plain_kneser_ney():
+    grams, every, log_p = plain_kneser_ney()
+    rows = [(t, 1) for t in TOXIC] + [(t, 0) for t in ORDINARY]
+    symbols = toxicity.alphabet([t for t, _ in rows])
+    model = toxicity.tables(rows, np.arange(len(rows)), symbols)
+    for g in every:
+        code = toxicity.grams(symbols[toxicity.points(g)].astype(np.uint64))
+        assert model.seen.find(code, np.nan)[0] == pytest.approx(log_p("t", g) - log_p("o", g), abs=1e-4), g
+    # an n-gram that neither class has: the classes differ by the weight of their backoff only
+    for g in (" vilx", "town!", "zzzzz"):
+        assert g not in every
+        got = model.ratios(symbols[toxicity.points(g)].astype(np.uint64))[0]
+        backs = []
+        for c in ("t", "o"):
+            mine = [n for h, n in grams[c].items() if h[:4] == g[:4]]
+            backs.append(math.log(0.75 * len(mine) / sum(mine)) if mine else 0.0)
+        assert got == pytest.approx(backs[0] - backs[1], abs=1e-5)
+    text = "a vile day"
+    whole = " " * 4 + text + " "
+    known = [whole[i : i + 5] for i in range(len(whole) - 4)]
+    assert model.features(text)[0] * len(known) == pytest.approx(float(model.ratios(toxicity.padded(text, symbols)).sum()), rel=1e-5)
+
+
+def test_no_stranger_meets_a_key_of_the_table():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 60, 50_000, dtype=np.uint64))
+    table = toxicity.CodeTable(codes, np.arange(len(codes), dtype=np.float32))
+    assert (table.find(codes, -1) == np.arange(len(codes))).all()
+    others = np.setdiff1d(rng.integers(0, 1 << 60, 200_000, dtype=np.uint64), codes)
+    assert (table.find(others, -1) == -1).all()
+
+
+def test_mixture_weights_are_those_of_plain_expectation_maximisation():
+    """On estimates that lie on the histogram's steps, weights learned from it are those of a plain loop over tokens."""
+    rng = np.random.default_rng(4)
+    steps = rng.integers(-8, 60, (300, 2))
+    buckets = rng.integers(0, 4, 300)
+    none = rng.random(300) < 0.3
+    cells = Counter()
+    for b, (two, one), missing in zip(buckets, steps, none):
+        cells[(int(b) * ngram_lm.SIDE + (0 if missing else int(two) + ngram_lm.HALF + 1)) * ngram_lm.SIDE + int(one) + ngram_lm.HALF + 1] += 1
+    got = ngram_lm.learn_weights(sorted(cells.items()))
+    for b in range(4):
+        weights = [0.4, 0.4, 0.2]
+        tokens = [(0.0 if missing else math.exp(two / ngram_lm.STEP), math.exp(one / ngram_lm.STEP), 1.0) for k, (two, one), missing in zip(buckets, steps, none) if k == b]
+        for _ in range(40):
+            total = [0.5, 0.5, 0.5]
+            for p in tokens:
+                parts = [w * x for w, x in zip(weights, p)]
+                total = [t + x / sum(parts) for t, x in zip(total, parts)]
+            weights = [t / sum(total) for t in total]
+        assert got[b] == pytest.approx(weights, rel=1e-6)
+
+
+def test_deleted_estimates_leave_the_token_out():
+    """A token's own occurrence is taken from its bigram, its history and its unigram."""
+    text = "a b a b a c".split() + [None]
+    one, two = Counter(text), Counter(zip([None, *text], text))
+    n, v = len(text), len(one)
+    before = np.array([one[h] for h in [None, *text][:-1]])
+    got = ngram_lm._estimates(before, np.array([one[w] for w in text]), np.array([two[p] for p in zip([None, *text], text)]), n, v, 1)
+    for i, (h, w) in enumerate(zip([None, *text], text)):
+        rest = Counter(zip([None, *text[:-1]], text))
+        rest[h, w] -= 1
+        seen = one[h] - 1
+        assert got[0][i] == pytest.approx(rest[h, w] / seen if seen else 0.0)
+        assert got[1][i] == pytest.approx((one[w] - 1) / (n - 1))
+    assert got[2] == 1 / (v + 1)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"b": 100, "a": 1, None: 7, "é": 50, "z": 0}, {"x": 5}, {f"s{i:03}": i * i % 97 for i in range(60)}])
+def test_targets_are_those_of_pouring_the_excess_again(sizes):
+    """A plain loop: share out by weight, stop what is above twice its size, share out what is left."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    stopped = {}
+    while True:
+        left = Fraction(3, 2) * sum(sizes.values()) - sum(stopped.values())
+        free = [s for s in names if s not in stopped]
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if share[s] > 2 * sizes[s]]
+        if not over:
+            break
+        stopped |= {s: Fraction(2 * sizes[s]) for s in over}
+    assert mixing.source_targets(list(sizes.items())) == stopped | share
