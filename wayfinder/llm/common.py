@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,16 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def with_text(docs: DataFrame, id_cols: list[Column], text_col: str) -> DataFrame:
+    """The id columns and last the text, under a name that none of them has."""
+    ids = docs.select(*id_cols).columns
+    return docs.select(*id_cols, F.col(text_col).alias(unused("text", ids)))
+
+
+def fields_of(docs: DataFrame, id_cols: list[Column]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_cols).schema)
+
+
 def unused(name: str, taken: Iterable[str]) -> str:
     """The name, with underscores until no column has it (in any case of letters)."""
     have = {t.lower() for t in taken}
@@ -74,6 +85,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_MADE: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
@@ -81,14 +95,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    for made in _MADE:
+        made.append(out)
     return out
 
 
 def forget(df: DataFrame) -> None:
-    """Delete what stored() wrote for df, once nothing will read it again."""
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete what stored() wrote for df, if it did, once nothing will read it again."""
+    if hasattr(df, "_stored_at"):
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def last_one_stays() -> Iterator[None]:
+    """Of what is stored inside, only the last outlives it: a result, written, and what led to it."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+    for df in made[:-1]:
+        forget(df)
 
 
 def bounded(sample: DataFrame, order: list[Column | str], max_bytes: int, text_col: str = "text") -> DataFrame:

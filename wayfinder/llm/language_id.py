@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, map_batches
+from .common import bounded, fields_of, map_batches, with_text
 
 UNDETERMINED = "und"
 BITS = 15
@@ -194,7 +194,6 @@ def train(docs: DataFrame, where: Column | None = None, text_col: str = "text",
 
 def predict(docs: DataFrame, model: LanguageModel, id_cols: list[Column], text_col: str = "text") -> DataFrame:
     """The id columns, lang_pred and score of every row; one map over the scan, no shuffle."""
-    ids = docs.select(*id_cols).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -206,8 +205,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_cols: list[Column], text_c
                 [*b.schema.names[:-1], "lang_pred", "score"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids) + ", lang_pred string, score double"
-    return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, schema)
+    schema = fields_of(docs, id_cols) + ", lang_pred string, score double"
+    return map_batches(with_text(docs, id_cols, text_col), run, schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, hash_sums, map_batches, mix, span_hashes, texts_of, word_spans
+from .common import bounded, fields_of, hash_sums, map_batches, mix, span_hashes, texts_of, with_text, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words in repeated windows
@@ -246,7 +246,7 @@ def figures(docs: DataFrame, field: LineField, id_cols: list[Column], text_col:
     """The id columns, the base figures, base_failed, kept and content_share of every row; one map over the scan."""
     names = [*BASE_FIELDS, "base_failed", "content_share", "kept"]
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_cols).schema)
+    fields = fields_of(docs, id_cols)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
@@ -255,7 +255,7 @@ def figures(docs: DataFrame, field: LineField, id_cols: list[Column], text_col:
             got = list(zip(*map(model.judge, texts_of(b)))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(g, t) for g, t in zip(got, types))], [*b.schema.names[:-1], *names])
 
-    return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, f"{fields}, {', '.join(f'{n} long' for n in BASE_FIELDS)}, base_failed boolean, content_share double, kept boolean")
+    return map_batches(with_text(docs, id_cols, text_col), run, f"{fields}, {', '.join(f'{n} long' for n in BASE_FIELDS)}, base_failed boolean, content_share double, kept boolean")
 
 
 def keep_good(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:

@@ -10,9 +10,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import fields_of, map_batches, with_text
 from .piece_codec import PieceCodec
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -24,10 +23,6 @@ def codec(path: str) -> PieceCodec:
     return _CODECS[path]
 
 
-def _fields(docs: DataFrame, id_cols: list[Column]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_cols).schema)
-
-
 def encode(docs: DataFrame, path: str, id_cols: list[Column], add_end: bool = True, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """The id columns, ids (int32), and the byte span of every piece in the source (the end id has an empty one).
 
@@ -51,8 +46,8 @@ def encode(docs: DataFrame, path: str, id_cols: list[Column], add_end: bool = Tr
             more = [pa.array(digests, pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists, *more], [*b.schema.names[:-1], "ids", "begins", "ends", *["decoded_sha256"] * decoded])
 
-    fields = f"{_fields(docs, id_cols)}, ids array<int>, begins array<int>, ends array<int>" + ", decoded_sha256 string" * decoded
-    return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, fields)
+    fields = f"{fields_of(docs, id_cols)}, ids array<int>, begins array<int>, ends array<int>" + ", decoded_sha256 string" * decoded
+    return map_batches(with_text(docs, id_cols, text_col), run, fields)
 
 
 def decode(encoded: DataFrame, path: str, id_cols: list[Column], ids_col: str = "ids") -> DataFrame:
@@ -64,7 +59,7 @@ def decode(encoded: DataFrame, path: str, id_cols: list[Column], ids_col: str =
             texts = [c.decode(i or []) for i in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
 
-    return map_batches(encoded.select(*id_cols, F.col(ids_col).alias("__ids")), run, f"{_fields(encoded, id_cols)}, text string")
+    return map_batches(with_text(encoded, id_cols, ids_col), run, f"{fields_of(encoded, id_cols)}, text string")
 
 
 def digest(docs: DataFrame, path: str, id_cols: list[Column], text_col: str = "text") -> DataFrame:
@@ -86,4 +81,4 @@ def digest(docs: DataFrame, path: str, id_cols: list[Column], text_col: str = "t
                 [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"],
             )
 
-    return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, f"{_fields(docs, id_cols)}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return map_batches(with_text(docs, id_cols, text_col), run, f"{fields_of(docs, id_cols)}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")

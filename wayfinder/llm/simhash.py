@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_batches, row_hash, stored, texts_of, unused
+from .common import fields_of, forget, map_batches, row_hash, stored, texts_of, unused, with_text
 
 CHUNK = 1 << 20
 #: Groups of cells; so at most the square of it pairs of groups, a row each, go out by broadcast (some 20 MB).
@@ -97,14 +97,14 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, cols: list[Column], width: int = 3, text_col: str = "text") -> DataFrame:
     """The given columns and fp (the 64 bits as a long) of every row; one map over the scan."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema)
+    fields = fields_of(docs, cols)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in texts_of(b)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*b.schema.names[:-1], "fp"])
 
-    return map_batches(docs.select(*cols, F.col(text_col).alias("__text")), run, f"{fields}, fp long")
+    return map_batches(with_text(docs, cols, text_col), run, f"{fields}, fp long")
 
 
 def _quarters() -> list[Column]:

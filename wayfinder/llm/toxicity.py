@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, bounded, log_sigmoid_fit, map_batches, mix
+from .common import IS_SPACE, bounded, fields_of, log_sigmoid_fit, map_batches, mix, with_text
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -248,7 +248,6 @@ def train(texts: DataFrame, labels: DataFrame, where: Column, max_train_rows: in
 
 def score(docs: DataFrame, model: ToxicityModel, id_cols: list[Column], text_col: str = "text") -> DataFrame:
     """The id columns and the score of every row; one map over the scan, no shuffle."""
-    ids = docs.select(*id_cols).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -257,5 +256,5 @@ def score(docs: DataFrame, model: ToxicityModel, id_cols: list[Column], text_col
             got = [m.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], [*b.schema.names[:-1], "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids) + ", score double"
-    return map_batches(docs.select(*id_cols, F.col(text_col).alias("__text")), run, schema)
+    schema = fields_of(docs, id_cols) + ", score double"
+    return map_batches(with_text(docs, id_cols, text_col), run, schema)
