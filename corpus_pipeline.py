@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfinder.llm import language_id, line_quality, mixing, pieces, simhash
-from wayfinder.llm.common import stored
+from wayfinder.llm.common import forget, last_one_stays, stored
 
 #: Texts whose language is less certain than this go; clean texts of a learned language lie well above.
 MIN_LANGUAGE_SCORE = 0.4
@@ -49,12 +49,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("piece_encoding", encode_pieces),
 ]
 
-#: Models, near-duplicates and draws have no SQL; the tests hold each stage against a brute-force version.
+#: Models, near-duplicates and draws have no SQL. The tests hold what each stage keeps against the operator's own verdict on
+#: every row (language, quality, mix) or against brute force (near-duplicates, encoding), and the models against plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before = docs
+        with last_one_stays():
+            docs = stored(stage(spark, before, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
