@@ -467,6 +467,8 @@ def test_random_changes_equal_a_plain_model(spark, tmp_path, kind):
         {"paths": [{"name": "p", "partition": ["nope"]}]},
         {"paths": [{"name": "p", "partition": ["id", "id"]}]},
         {"paths": [{"name": "primary", "partition": ["id"]}]},
+        {"paths": [{"name": "p", "partition": ["id"], "id": 1}]},
+        {"id": -2},
         {"name": ""},
     ],
 )
@@ -480,6 +482,10 @@ def test_catalog_errors(change):
 def test_catalog_files(tmp_path):
     (tmp_path / "net.json").write_text(json.dumps(NET))
     catalog = load(str(tmp_path / "net.json"))
+    numbered = build({"relations": [relation("a", "id int", "id") | {"id": 7}, relation("b", "id int", "id", ("p", "id", False))]})
+    assert [r.id for r in numbered.relations.values()] == [7, 2] and [p.id for p in numbered.relation("b").paths] == [1, 2]
+    with pytest.raises(QueryError):
+        build({"relations": [relation("a", "id int", "id") | {"id": 2}, relation("b", "id int", "id")]})
     assert catalog.relation("site").relationships["sensors"].columns == ("code",) and catalog.relation("alarm").path("by_time").partition == ()
 
 

@@ -26,6 +26,7 @@ class AccessPath:
     partition: tuple[str, ...]
     sort: tuple[str, ...] = ()
     unique: bool = False
+    id: int = 0
 
     @property
     def key(self) -> tuple[str, ...]:
@@ -48,6 +49,7 @@ class Relation:
     columns: list[Column]
     paths: list[AccessPath]
     relationships: dict[str, Relationship] = field(default_factory=dict)
+    id: int = 0
 
     @property
     def primary(self) -> AccessPath:
@@ -94,7 +96,18 @@ class Catalog:
                 raise QueryError(f"relation {name} differs from the stored catalog")
 
 
-def _path(rel: str, columns: dict[str, Column], name: str, spec: dict, unique: bool) -> AccessPath:
+def _number(what: str, spec: dict, at: int, taken: list[int]) -> int:
+    """The id that a definition gives, else its place from 1."""
+    given = spec.get("id") or 0
+    if not isinstance(given, int) or given < 0:
+        raise QueryError(f"{what}: an id is a positive number")
+    out = given or at
+    if out in taken:
+        raise QueryError(f"{what}: id {out} is taken")
+    return out
+
+
+def _path(rel: str, columns: dict[str, Column], name: str, spec: dict, unique: bool, others: list[AccessPath]) -> AccessPath:
     partition, sort = tuple(spec.get("partition") or ()), tuple(spec.get("sort") or ())
     if not partition + sort:
         raise QueryError(f"path {rel}.{name} has no columns")
@@ -103,7 +116,7 @@ def _path(rel: str, columns: dict[str, Column], name: str, spec: dict, unique: b
             raise QueryError(f"path {rel}.{name}: unknown column {c}")
     if len(set(partition + sort)) < len(partition + sort):
         raise QueryError(f"path {rel}.{name} lists a column twice")
-    return AccessPath(name, partition, sort, unique)
+    return AccessPath(name, partition, sort, unique, _number(f"path {rel}.{name}", spec, len(others) + 1, [p.id for p in others]))
 
 
 def build(spec: dict) -> Catalog:
@@ -125,14 +138,14 @@ def build(spec: dict) -> Catalog:
         primary = r.get("primary") or {}
         if not (primary.get("partition") or primary.get("sort")):
             raise QueryError(f"{name} has no primary key")
-        paths = [_path(name, columns, "primary", primary, True)]
+        paths = [_path(name, columns, "primary", primary, True, [])]
         if any(columns[c].nullable for c in paths[0].key):
             raise QueryError(f"{name}: nullable primary key")
         for p in r.get("paths") or []:
             if not p.get("name") or any(x.name == p["name"] for x in paths):
                 raise QueryError(f"{name}: missing or duplicate path name")
-            paths.append(_path(name, columns, p["name"], p, bool(p.get("unique", False))))
-        out.append(Relation(name, list(columns.values()), paths))
+            paths.append(_path(name, columns, p["name"], p, bool(p.get("unique", False)), paths))
+        out.append(Relation(name, list(columns.values()), paths, id=_number(name, r, len(out) + 1, [x.id for x in out])))
     catalog = Catalog(out)
     for s in spec.get("relationships") or []:
         source, target = catalog.relation(s.get("from", "")), catalog.relation(s.get("to", ""))
