@@ -7,7 +7,6 @@ import json
 import sys
 from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from itertools import chain, islice
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import SparkSession
@@ -22,26 +21,20 @@ from .sources.store import MemoryStore, SnapshotStore
 HELP = "\\d tables, \\d NAME columns and paths, \\graphql schema, \\? help, \\q quit"
 
 
-#: Rows by which a result's columns get their width; the rest is printed as it comes.
-MEASURED_ROWS = 1000
-
-
 def show(result: Result) -> Iterator[str]:
-    """The lines of a result; its rows pass through the driver a partition at a time."""
+    """The lines of a result; all its rows are on the driver at once, as one parallel job brings them."""
     if result.df is None:
         yield f"OK, {result.rows_affected} rows affected"
         return
-    head, n = result.df.columns, 0
     with running():
-        rows = (["NULL" if v is None else str(v) for v in r] for r in result.df.toLocalIterator())
-        first = list(islice(rows, MEASURED_ROWS))
-        width = [max(len(x) for x in col) for col in zip(head, *first)]
-        yield " | ".join(x.ljust(w) for x, w in zip(head, width)).rstrip()
-        yield "-+-".join("-" * w for w in width)
-        for r in chain(first, rows):
-            n += 1
-            yield " | ".join(x.ljust(w) for x, w in zip(r, width)).rstrip()
-    yield f"({n} row{'s' * (n != 1)})"
+        rows = [["NULL" if v is None else str(v) for v in r] for r in result.df.collect()]
+    head = result.df.columns
+    width = [max(map(len, col)) for col in zip(head, *rows)]
+    yield " | ".join(x.ljust(w) for x, w in zip(head, width)).rstrip()
+    yield "-+-".join("-" * w for w in width)
+    for r in rows:
+        yield " | ".join(x.ljust(w) for x, w in zip(r, width)).rstrip()
+    yield f"({len(rows)} row{'s' * (len(rows) != 1)})"
 
 
 def describe(session: Session, name: str | None) -> str:
