@@ -14,6 +14,7 @@ from ..plans.graphql import GraphQL
 from ..session import Session
 from ..sources.store import MemoryStore
 from ..sources.warehouse import ParquetTables, warehouse_catalog
+from .rules import RULES
 
 FLAGSHIP = "SELECT c.c_name, o.o_orderkey, o.o_totalprice FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_custkey = 7 ORDER BY o.o_orderdate DESC LIMIT 5"
 
@@ -284,12 +285,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {n: change_query(t) for n, (t, _) in CHANGES.items()}
     out |= {n: change_query(t, "orders") for n, (t, _) in LARGE_CHANGES.items()}
     out |= {n: failed_change(t) for n, t in FAILED_CHANGES.items()}
-    return out | {n: f for n, (f, _) in PLANS.items()} | {"explain_flagship": explain_query}
+    return out | {n: f for n, (f, _) in (PLANS | RULES).items()} | {"explain_flagship": explain_query}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: o or t for n, (t, _, _, o) in SQL.items()}
-    out |= {n: o for d in (GRAPHQL, CHANGES, LARGE_CHANGES, PLANS) for n, (_, o) in d.items()}
+    out |= {n: o for d in (GRAPHQL, CHANGES, LARGE_CHANGES, PLANS, RULES) for n, (_, o) in d.items()}
     out |= {n: _AS_INT.format(_NATION) for n in FAILED_CHANGES}
     lines = ["Project [c.c_name, o.o_orderkey, o.o_totalprice]", "  Lookup orders o via by_cust key=[c.c_custkey] many reverse limit=5 cols=[o_orderkey, o_totalprice]", "    Get customer c via primary key=[7] cols=[c_custkey, c_name]"]
     return out | {"explain_flagship": "SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in lines) + ") AS t(plan)"}
