@@ -320,8 +320,10 @@ class Lowering:
     def linked(self, f: Frame, x: Field) -> tuple[Frame, list[tuple[str, Column]], int | None]:
         """The nested plan without its key equalities to the outer row, those, and the limit that holds for each key."""
         child, links = self.unlink(x.plan)
+        if not links and not outers(child):  # the same for every outer row, limits and all
+            return self.lower(Limit(x.plan, 1) if x.one and not is_one(x.plan) else x.plan), [], None
         child, limit = without_limit(child)
-        if outers(child) or links and limited(child):
+        if outers(child) or limited(child):
             raise RowByRow
         if x.one and not is_one(x.plan) and not self.one_each(child, links):
             limit = 1 if limit is None else min(limit, 1)
