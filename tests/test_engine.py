@@ -313,6 +313,111 @@ def test_nested_reads_reach_only_their_parents(still):
     assert [len(r.x) for r in df.collect()] == [3, 0]
 
 
+STEP = relation("step", "serial int, lane string null, at float null", "serial", ("by_lane", "lane | at", False), ("by_at", "| at", False))
+
+
+class Steps:
+    def __init__(self, spark, data):
+        self.df = spark.createDataFrame(data, "serial bigint, lane string, at double").repartition(3).localCheckpoint()
+
+    def frame(self, name):
+        return self.df
+
+
+def steps(spark, data):
+    return Session(spark, build({"relations": [STEP], "relationships": []}), Steps(spark, data), True)
+
+
+OF_LANE = {"path": "by_lane", "eq": (b.O("s", "lane"),)}
+AT, LATER = b.O("s", "at"), b.Add(b.O("s", "at"), b.F(2))
+BOUNDS = {
+    "gt": {"lo": (AT, False)}, "ge": {"lo": (AT, True)}, "lt": {"hi": (AT, False)}, "le": {"hi": (AT, True)},
+    "gt_le": {"lo": (AT, False), "hi": (LATER, True)}, "ge_lt": {"lo": (AT, True), "hi": (LATER, False)}, "none_between": {"lo": (LATER, True), "hi": (AT, True)}, "fixed_lo": {"lo": (b.F(1), True), "hi": (AT, True)},
+}
+
+
+def first_steps(data, row, of_lane, bounds, reverse, k):
+    """The first k steps that a row reaches; NaN is the largest value."""
+    import math
+
+    def of(v):
+        return math.inf if v is not None and math.isnan(v) else v
+
+    at = of(row[2])
+    value = {AT: at, LATER: None if at is None else at + 2, b.F(1): 1.0}
+    got = [r for r in data if not of_lane or row[1] is not None and r[1] == row[1]]
+    for side, (e, inclusive) in bounds.items():
+        x = value[e]
+        got = [r for r in got if None not in (x, r[2]) and (inclusive and of(r[2]) == x or (of(r[2]) > x if side == "lo" else of(r[2]) < x))]
+    return [r[0] for r in sorted(got, key=lambda r: (r[2] is not None, of(r[2] or 0.0), r[0]), reverse=reverse)[:k]]
+
+
+@pytest.mark.parametrize("of_lane", [True, False])
+@pytest.mark.parametrize("reverse", [False, True])
+@pytest.mark.parametrize("part", [0, 1, 2, 3])
+def test_limits_within_outer_bounds_equal_brute_force(spark, part, of_lane, reverse):
+    rng = random.Random(5)
+    values = [None, float("nan"), -0.0, 0.0, -1.5, *[x / 2 for x in range(12)]]
+    data = [(i, rng.choice(["a", "b", "c", None]), rng.choice(values)) for i in range(90)] + [(90, "alone", 1.0)]
+    limits = dict(zip(BOUNDS, (2, 3, 1, 2, 50, 2, 2, 0)))
+    scan = {n: nodes.Scan("step", "d", reverse=reverse, **(OF_LANE if of_lane else {"path": "by_at"}), **BOUNDS[n]) for n in list(BOUNDS)[part::4]}
+    fields = tuple(nodes.Field(n, nodes.Project(nodes.Limit(x, limits[n]), (("serial", b.C("d", "serial")),))) for n, x in scan.items())
+    got = steps(spark, data).run(nodes.Map(nodes.Scan("step", "s", "by_at"), fields)).df.collect()
+    assert len(got) == len(data)
+    for r in got:
+        row = next(x for x in data if x[0] == r["serial"])
+        for n in scan:
+            assert [i.serial for i in r[n]] == first_steps(data, row, of_lane, BOUNDS[n], reverse, limits[n]), (n, row)
+
+
+def over_limit(step):
+    return step(nodes.Scan("step", "d", **OF_LANE, lo=(AT, False), limit=3))
+
+
+STEPS = {
+    "an expression": nodes.Field("x", over_limit(lambda d: nodes.Project(d, (b.As("serial", b.C("d", "serial")), b.As("by", b.Add(b.C("d", "at"), AT)))))),
+    "a limit of an expression": nodes.Field("x", nodes.Limit(nodes.Project(nodes.Scan("step", "d", **OF_LANE, lo=(AT, False)), (b.As("by", b.Add(b.C("d", "at"), AT)),)), 2)),
+    "a filter above": nodes.Field("x", over_limit(lambda d: nodes.Filter(d, b.Gt(b.C("d", "serial"), b.O("s", "serial"))))),
+    "a filter below": nodes.Field("x", nodes.Limit(nodes.Filter(nodes.Scan("step", "d", **OF_LANE, lo=(AT, False)), b.Gt(b.C("d", "serial"), b.I(4))), 1)),
+    "an outer filter below": nodes.Field("x", nodes.Limit(nodes.Filter(nodes.Scan("step", "d", **OF_LANE, lo=(AT, False)), b.Gt(b.C("d", "serial"), b.O("s", "serial"))), 1)),
+    "a limit of a limit": nodes.Field("x", nodes.Limit(over_limit(lambda d: d), 2)),
+    "a lookup below": nodes.Field("x", nodes.Limit(nodes.Lookup(nodes.Scan("step", "d", **OF_LANE, lo=(AT, False)), "step", "e", "by_lane", (b.C("d", "lane"),), many=True, reverse=True), 4)),
+    "a left lookup below": nodes.Field("x", nodes.Limit(nodes.Lookup(nodes.Scan("step", "d", **OF_LANE, hi=(AT, False), reverse=True), "step", "e", "primary", (b.Add(b.C("d", "serial"), b.O("s", "serial")),), optional=True), 2)),
+    "lists of its own": nodes.Field("x", nodes.Limit(nodes.Map(nodes.Scan("step", "d", **OF_LANE, lo=(AT, False)), (nodes.Field("y", nodes.Limit(nodes.Scan("step", "e", "by_at", lo=(b.O("d", "at"), True)), 1)),)), 2)),
+    "one": nodes.Field("x", nodes.Scan("step", "d", **OF_LANE, lo=(AT, False)), True),
+    "keys only": nodes.Field("x", nodes.Filter(nodes.Scan("step", "d", **OF_LANE, limit=2), b.Gt(b.C("d", "serial"), b.O("s", "serial")))),
+    "the same for all": nodes.Field("x", nodes.Filter(nodes.Scan("step", "d", "by_at", lo=(b.F(1), False), limit=2), b.Gt(b.C("d", "serial"), b.O("s", "serial")))),
+}
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_steps_around_limits_within_outer_bounds(spark, name):
+    data = [(i, "ab"[i % 2], float(x)) for i, x in enumerate([3, 3, 1, 2, 1, 0, 2, 5])] + [(8, None, 1.0), (9, "a", None)]
+    s = steps(spark, data)
+    got = s.run(nodes.Map(nodes.Scan("step", "s", "primary"), (STEPS[name],))).df.collect()
+    assert [r.asDict(True)["x"] for r in got] == each_outer_row(s, nodes.Scan("step", "s", "primary"), STEPS[name])
+
+
+def test_limits_within_outer_bounds_do_not_pair_all_rows(spark):
+    n = 1500
+    s = steps(spark, [(i, "a", float(i * 7 % n)) for i in range(n)])
+    inner = nodes.Limit(nodes.Scan("step", "d", **OF_LANE, lo=(AT, False)), 2)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = s.run(nodes.Map(nodes.Scan("step", "s", "by_at"), (nodes.Field("x", inner), nodes.Field("y", inner.input, True)))).df
+        assert sorted(len(r.x) for r in df.collect()) == [0, 1] + [2] * (n - 2)
+        plans, made = [df._jdf.queryExecution().executedPlan()], []
+        while plans:
+            p = plans.pop()
+            plans += [p.children().apply(i) for i in range(p.children().size())]
+            rows_out = p.metrics().get("numOutputRows")
+            made += [rows_out.get().value()] if rows_out.isDefined() else []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert n <= max(made) <= 3 * n
+
+
 def same_rows(a, c):
     assert sorted(map(repr, rows(a))) == sorted(map(repr, rows(c)))
 

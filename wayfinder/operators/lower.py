@@ -7,7 +7,8 @@ fields one grouped aggregate by the parent's key columns, limits a top-k under a
 A nested plan that names its outer row only where a key equals it is grouped by that key. Any other (an outer
 reference in a filter, a bound or an expression, a limit below another step) is run over the distinct values of
 the outer columns that it names: they are joined to the relation that it reads and go with its rows, and limits
-count for each of them.
+count for each of them. Below a limit whose outer references bind only the keys and bounds of the read, that join meets
+no more rows than the limit lets through: rows are numbered once for each key, and a bound is a place among them.
 """
 
 from __future__ import annotations
@@ -133,6 +134,8 @@ class Lowering:
 
     def lower(self, n: Node) -> Frame:
         match n:
+            case Scan(limit=int(k)) if self.around:
+                return self.first_of_each(replace(n, limit=None), k)
             case Get() | GetMany() | Scan():
                 return self.access(n)
             case Filter(i, p):
@@ -146,11 +149,12 @@ class Lowering:
             case Lookup():
                 return self.lookup(n)
             case Limit(i, k):
-                return self.first_rows(self.lower(i), k)
+                return self.first_of_each(i, k) if self.around else self.first_rows(self.lower(i), k)
             case Map(i, fields):
                 f = self.lower(i)
+                plain = f.df
                 for x in fields:
-                    self.nest(f, x)
+                    self.nest(f, x, plain)
                 return f
             case Project(i, exprs):
                 f = self.lower(i)
@@ -176,6 +180,69 @@ class Lowering:
         f.narrow = True
         return f
 
+    def first_of_each(self, n: Node, limit: int) -> Frame:
+        """The first rows of a nested plan for each of the outer values that its read is to be joined to."""
+        match n:
+            case Project() | Map() | Lookup(many=False, optional=True):  # as many rows above as below
+                return self.lower(replace(n, input=Limit(n.input, limit)))
+            case Limit(i, k):
+                return self.first_of_each(i, min(k, limit))
+            case Scan(limit=int(k)):
+                return self.first_of_each(replace(n, limit=None), min(k, limit))
+        scan = leaf(n)
+        if not isinstance(scan, Scan) or limited(n):
+            return self.first_rows(self.lower(n), limit)
+        # in the order of the rows, a bound tells where they begin or where they end
+        ends = [(last, *b) for last, b in ((scan.reverse, scan.lo), (not scan.reverse, scan.hi)) if b and has_outer(b[0])]
+        free = replace(scan, eq=tuple(None if has_outer(e) else e for e in scan.eq), lo=None if scan.lo and has_outer(scan.lo[0]) else scan.lo, hi=None if scan.hi and has_outer(scan.hi[0]) else scan.hi)
+        if outers(upon(n, free)):
+            return self.first_rows(self.lower(n), limit)
+
+        (keys, held), self.around = self.around, None
+        c = self.compiler(Frame(keys, {}, [], [], outer=held))
+        rel, alias = self.catalog.relation(scan.rel), scan.alias or scan.rel
+        key = [rel.column(x) for x in rel.path(scan.path).key]
+        links = {internal(alias, x.name): c.as_type(e, x.type) for x, e in zip(key, scan.eq) if has_outer(e)}
+        names = [self.fresh("k") for _ in links]
+        keys = keys.select("*", *[v.alias(k) for k, v in zip(names, links.values())])
+        by = [F.col(f"`{x}`") for x in links]
+        f = self.lower(upon(n, Within(free, list(links), keys.select(*names).distinct()) if links else free))
+        on = reduce(and_, [F.col(k) == x for k, x in zip(names, by)], F.lit(True))
+        rank, start, stop = self.fresh("rank"), self.fresh("start"), self.fresh("stop")
+        if ends:
+            end = key[len(scan.eq)]
+            f.df = f.df.where(F.col(f"`{internal(alias, end.name)}`").isNotNull())
+            marks = f.df.select(*[x.alias(k) for k, x in zip(names, by)], F.col(f"`{internal(alias, end.name)}`").alias(self.fresh("v")))
+            keys = keys.withColumn(start, F.lit(0).cast("bigint"))
+            for last, e, inclusive in ends:
+                keys = self.placed(keys, marks, c.as_type(e, end.type), scan.reverse, last == inclusive, stop if last else start, None if last or len(ends) == 2 else stop)
+            n_rows = F.least(F.lit(limit).cast("bigint"), F.col(stop) - F.col(start))
+            keys = keys.where(n_rows > 0).withColumn(stop, F.explode(F.sequence(F.col(start) + 1, F.col(start) + n_rows)))
+            f.df, on = self.ranked(f, by, rank), on & (F.col(stop) == F.col(rank))
+        elif links:
+            f.df = self.ranked(f, by, rank).where(F.col(rank) <= limit)
+        else:
+            f = self.first_rows(f, limit)
+        f.df, f.outer, f.narrow = keys.join(f.df, on).drop(*names, rank, start, stop), held, True
+        f.key = [*f.per, *f.key]
+        return f
+
+    def ranked(self, f: Frame, by: list[Column], rank: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*sort_columns(f.order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return f.df.withColumn(rank, F.count(F.lit(1)).over(w))
+
+    def placed(self, keys: DataFrame, marks: DataFrame, value: Column, down: bool, after: bool, place: str, total: str | None) -> DataFrame:
+        """The keys with the number of marks before their value, those that equal it counted if after, and with the total
+        number. Marks hold columns that the keys hold too, which must agree, and a value. Keys without a value go."""
+        *by, v = marks.columns
+        turn = self.fresh("turn")
+        keys = keys.drop(place).select("*", value.alias(v), F.lit(2 if after else 0).alias(turn)).where(F.col(v).isNotNull())
+        w = Window.partitionBy(*by).orderBy(*sort_columns([(v, down), (turn, False)]))
+        counts = {place: Window.currentRow} | ({total: Window.unboundedFollowing} if total else {})
+        both = keys.unionByName(marks.withColumn(turn, F.lit(1)), allowMissingColumns=True)
+        both = both.select("*", *[F.count(F.when(F.col(turn) == 1, 1)).over(w.rowsBetween(Window.unboundedPreceding, to)).alias(c) for c, to in counts.items()])
+        return both.where(F.col(turn) != 1).drop(v, turn)
+
     def access(self, n: Get | GetMany | Scan) -> Frame:
         rel = self.catalog.relation(n.rel)
         alias = n.alias or n.rel
@@ -215,7 +282,8 @@ class Lowering:
                     f.order = [(place, False), *f.order]
             case Scan():
                 for i, e in enumerate(n.eq):
-                    f.df = f.df.where(at(i) == bound(e, i))
+                    if e is not None:  # first_of_each joins its value
+                        f.df = f.df.where(at(i) == bound(e, i))
                 i = len(n.eq)
                 if n.lo:
                     b = bound(n.lo[0], i)
@@ -286,12 +354,13 @@ class Lowering:
         df = left.join(right, cond, "left" if n.optional else "inner").drop(*[k for k, _ in keys])
         return Frame(df, f.types | t.types, f.order + order if n.many else f.order, f.key + t.key if n.many else f.key, narrow=f.narrow, outer=f.outer)
 
-    def nest(self, f: Frame, x: Field) -> None:
-        """Add a list of records, or one record or NULL, of the rows that the outer row reaches."""
+    def nest(self, f: Frame, x: Field, plain: DataFrame) -> None:
+        """Add a list of records, or one record or NULL, of the rows that the outer row reaches; plain: the outer rows
+        without other fields, so that what a field reads does not run those before it again."""
         try:
-            inner, pairs, limit = self.linked(f, x)
+            inner, pairs, limit = self.linked(f, x, plain)
         except RowByRow:
-            inner, pairs, limit = self.correlated(f, x), [], None
+            inner, pairs, limit = self.correlated(f, x, plain), [], None
             pairs = [(c, f.resolve(Col(*o))[1]) for o, (_, c) in inner.outer.items()]
         by = [F.col(k) for k, _ in pairs]
         record = F.struct(*self.labelled(inner))
@@ -317,7 +386,7 @@ class Lowering:
         f.df = f.df.withColumn(col, F.col(out) if x.one else F.coalesce(F.col(out), empty)).drop(out)
         f.types[("", x.name)] = "nested"
 
-    def linked(self, f: Frame, x: Field) -> tuple[Frame, list[tuple[str, Column]], int | None]:
+    def linked(self, f: Frame, x: Field, plain: DataFrame) -> tuple[Frame, list[tuple[str, Column]], int | None]:
         """The nested plan without its key equalities to the outer row, those, and the limit that holds for each key."""
         child, links = self.unlink(x.plan)
         if not links and not outers(child):  # the same for every outer row, limits and all
@@ -329,7 +398,7 @@ class Lowering:
             limit = 1 if limit is None else min(limit, 1)
         # one record without lists of its own needs the join below only
         if f.narrow and not (x.one and limit is None and not has_fields(child)):
-            child = self.within(f, child, links)
+            child = self.within(f, child, links, plain)
         inner = self.lower(child)
         pairs = []
         for e, outer in links:
@@ -348,28 +417,21 @@ class Lowering:
         bound = {e.name for e, _ in links if isinstance(e, Col) and e.qual in ("", alias)}
         return any(p.unique and set(p.key) <= bound for p in rel.paths)
 
-    def correlated(self, f: Frame, x: Field) -> Frame:
+    def correlated(self, f: Frame, x: Field, plain: DataFrame) -> Frame:
         """The nested plan over the distinct values of the outer columns that it names, which go with its rows."""
         held = {o: (f.resolve(Col(*o))[0], self.fresh("o")) for o in sorted(outers(x.plan))}
-        keys = f.df.select(*[f.resolve(Col(*o))[1].alias(c) for o, (_, c) in held.items()]).distinct()
+        keys = plain.select(*[f.resolve(Col(*o))[1].alias(c) for o, (_, c) in held.items()]).distinct()
         self.around = (keys, held) if held else None
-        inner = self.lower(x.plan)
-        return self.first_rows(inner, 1) if x.one and not is_one(x.plan) else inner
+        return self.lower(Limit(x.plan, 1) if x.one and not is_one(x.plan) else x.plan)
 
-    def within(self, f: Frame, child: Node, links: list[tuple[Expr, Outer]]) -> Node | Within:
+    def within(self, f: Frame, child: Node, links: list[tuple[Expr, Outer]], plain: DataFrame) -> Node | Within:
         """The nested plan over what the outer rows reach of the relation that it reads."""
-        chain = [child]
-        while not isinstance(chain[-1], Scan):
-            chain.append(chain[-1].input)
-        scan = chain[-1]
+        scan = leaf(child)
         alias = scan.alias or scan.rel
         mine = [(internal(alias, e.name), o, f.resolve(Col(o.qual, o.name))[1]) for e, o in links if isinstance(e, Col) and e.qual == alias]
         if not mine:
             return child
-        out: Node | Within = Within(scan, [c for c, _, _ in mine], self.keys_of(f, [o for _, o, _ in mine], [c for _, _, c in mine], f.df))
-        for x in reversed(chain[:-1]):
-            out = replace(x, input=out)
-        return out
+        return upon(child, Within(scan, [c for c, _, _ in mine], self.keys_of(f, [o for _, o, _ in mine], [c for _, _, c in mine], plain)))
 
     def unlink(self, n: Node) -> tuple[Node, list[tuple[Expr, Outer]]]:
         """The plan without its key equalities to the outer row, and those."""
@@ -409,6 +471,20 @@ class Lowering:
         return Limit(Filter(inner, And(tuple(preds))) if preds else inner, n.limit)
 
 
+def has_outer(e: Expr) -> bool:
+    return any(isinstance(x, Outer) for x in walk(e))
+
+
+def leaf(n: Node) -> Node:
+    """What a chain of steps reads."""
+    return leaf(n.input) if hasattr(n, "input") else n
+
+
+def upon(n: Node, read: Node | Within) -> Node | Within:
+    """The same chain of steps over another read."""
+    return replace(n, input=upon(n.input, read)) if hasattr(n, "input") else read
+
+
 def has_fields(n: Node) -> bool:
     return isinstance(n, Map) or (not isinstance(n, Scan) and has_fields(n.input))
 
